@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from ..operators.units import conversion_table, to_common
 from ..plans.data_queries import clock_readings
 from ..sources.tables import table
+from .language import label_languages, named_language, train_network
+from .mixing import mix
 from .nearest_stream import replay_nearest
+from .packing import pack, packing_report
+from .tokens import with_token_counts
 
 # codes of the streams, in the last two bits of an entity
 BAG, LSL, EDF = 0, 1, 2
@@ -36,5 +40,48 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.when(code == BAG, "bag").otherwise("marker").alias("stream"), F.floor(F.col("entity") / 4).cast("long").alias("recording_id"), "left_no", "right_no")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found,)}
+CAPACITY = 2048
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts in containers of 2,048 tokens."""
+    return pack(with_token_counts(table(spark, sf, "documents").select("doc_id", "text")), CAPACITY)
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing_report(p6_containers(spark, sf), CAPACITY)
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = with_token_counts(table(spark, sf, "documents").select("doc_id", "source", F.xxhash64("text", F.lit(1)).alias("k1"), F.xxhash64(F.reverse("text")).alias("k2"), "text"))
+    key = F.concat_ws("-", F.col("k1").cast("string"), F.col("k2").cast("string"))
+    return mix(docs.select("doc_id", "source", key.alias("key"), "n_tokens"), table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The records used for each source and how often."""
+    return _mix(spark, sf)[0]
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target shares and the shares really reached."""
+    return _mix(spark, sf)[1]
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return label_languages(docs, train_network(docs, table(spark, sf, "lang_samples")), carry=named_language(F.col("lang")).alias("named"))
+
+
+def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of each document and of its stretches, with confidence."""
+    return _labels(spark, sf)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    wrong = F.col("named").isNull() | (F.col("named") != F.col("main")) | (F.size("langs") > 1)
+    return _labels(spark, sf).filter((F.size("langs") > 0) & wrong).select("doc_id", F.explode("langs").alias("lang"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_containers, p6_report, p7_mix, p7_report, p8_found, p8_labels)}
 ORACLES: dict[str, str] = {}
