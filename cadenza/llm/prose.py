@@ -7,11 +7,12 @@ import re
 from ..functions.ship import by_value
 
 _BLANK = [
+    # first, as blanks left by the others would look like an indent
+    re.compile(r"^(?:<p>)?(?: {4}|\t)(?:(?!</)[^\n])*", re.M),
     re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(^[ \t]*\1[^\n]*$|\Z)", re.S | re.M),
     re.compile(r"```.*?(```|\Z)", re.S),
     re.compile(r"<(pre|code|script|style)\b[^>]*>.*?(</\1\s*>|\Z)", re.S | re.I),
     re.compile(r"<a\b[^>]*>.*?</a\s*>", re.S | re.I),
-    re.compile(r"^(?: {4}|\t)[^\n]*$", re.M),
     re.compile(r"``[^`\n]+``|`[^`\n]*`"),
     re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)"),
     re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+", re.I),
