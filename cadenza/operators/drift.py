@@ -33,7 +33,7 @@ def parse_names(col: Column) -> Column:
 
 
 def parse_payload(payload: Column, n: Column) -> Column:
-    """The values of a row as written, as many as n: a JSON list, or ; tab | or comma between, whichever gives n values."""
+    """The values of a row as written, as many as n: a JSON list, or ; tab | or comma between, whichever gives n values. Numbers of a JSON list come in their shortest form, decimals still as decimals."""
     text = payload
     trimmed = F.trim(text)
     out = F.from_json(trimmed, "array<string>")
