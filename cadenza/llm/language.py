@@ -113,36 +113,28 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], *, hidd
 def score(p: dict[str, np.ndarray], texts: list[str], spans: list[list[tuple[int, int]]], width: int = 192, margin: int = 24, rows: int = 1024) -> list[np.ndarray]:
     """Probabilities (sentence, language) of each text: the mean over the positions of the sentence's letters.
 
-    The sentences of a text are read as one byte string, in windows of `width` bytes with `margin` bytes of context to either
-    side, whatever its length; windows of all texts are batched together."""
+    Each sentence is read by itself, so that a neighbour in another language can't colour it, and whole: long ones in windows of `width`
+    bytes with `margin` bytes of context to either side. Windows of all texts are batched together by length."""
     step = width - 2 * margin
-    strings, owner = [], []
-    for i, (t, sp) in enumerate(zip(texts, spans)):
-        parts, own = [], []
-        for k, (a, b) in enumerate(sp):
-            raw = re.sub(r"\s+", " ", t[a:b]).encode("utf-8", "replace")
-            parts.append(raw + b" ")
-            own.append(np.full(len(raw) + 1, k, np.int32))
-        strings.append(np.frombuffer(b"".join(parts), np.uint8))
-        owner.append(np.concatenate(own) if own else np.zeros(0, np.int32))
-    where = [(i, a) for i, s in enumerate(strings) for a in range(0, max(len(s), 0), step)]
+    strings = [(i, k, np.frombuffer(re.sub(r"\s+", " ", t[a:b]).encode("utf-8", "replace"), np.uint8)) for i, (t, sp) in enumerate(zip(texts, spans)) for k, (a, b) in enumerate(sp)]
+    where = [(j, a) for j, (_, _, s) in enumerate(strings) for a in range(0, len(s) if len(s) > width else 1, step)]
+    end = lambda j, a: len(strings[j][2]) if len(strings[j][2]) <= width else min(len(strings[j][2]), a + step)
+    where.sort(key=lambda w: end(*w) - w[1])
     sums = [np.zeros((len(sp), len(LANGS))) for sp in spans]
-    where.sort(key=lambda w: -min(width, len(strings[w[0]]) - w[1]))
     for c in range(0, len(where), rows):
         part = where[c : c + rows]
         lo = [max(0, a - margin) for _, a in part]
-        hi = [min(len(strings[i]), a + step + margin) for i, a in part]
+        hi = [min(len(strings[j][2]), end(j, a) + margin) for j, a in part]
         n = max(h - l for l, h in zip(lo, hi))
         x = np.full((n, len(part)), 32, np.uint8)
-        for j, ((i, _), l, h) in enumerate(zip(part, lo, hi)):
-            x[: h - l, j] = strings[i][l:h]
+        for col, ((j, _), l, h) in enumerate(zip(part, lo, hi)):
+            x[: h - l, col] = strings[j][2][l:h]
         q = bigru.probabilities(p, x)
-        for j, ((i, a), l) in enumerate(zip(part, lo)):
-            e = min(len(strings[i]), a + step)
-            s = strings[i][a:e]
+        for col, ((j, a), l) in enumerate(zip(part, lo)):
+            i, k, s = strings[j]
+            s = s[a : end(j, a)]
             letters = (s >= 65) & ((s < 91) | (s > 96)) & (s != 123) & (s != 125)
-            own = owner[i][a:e]
-            np.add.at(sums[i], own[letters], q[a - l : e - l, j][letters])
+            sums[i][k] += q[a - l : a - l + len(s), col][letters].sum(0)
     return [s / np.maximum(s.sum(1, keepdims=True), 1e-9) for s in sums]
 
 
@@ -155,7 +147,7 @@ def judge(text: str, spans: list[tuple[int, int]], probs: np.ndarray, *, sure: f
     size = np.array([sum(ch.isalpha() for ch in text[a:b]) for a, b in spans], float)
     pooled = (probs * size[:, None]).sum(0)
     main = int(pooled.argmax())
-    count = np.array([len(re.findall(r"[^\W\d_]{2,}", text[a:b])) for a, b in spans])
+    count = np.array([len(re.findall(r"[^\W\d_]+", text[a:b])) for a, b in spans])
     best = probs.argmax(1)
     clear = (probs.max(1) >= sure) & (count >= words) & (size >= letters)
     lang = np.where(clear, best, -1)
@@ -206,21 +198,24 @@ def _trainer(options: dict):
 
 
 def train_network(docs: DataFrame, samples: DataFrame, *, documents: int = 4000, **options) -> dict[str, np.ndarray]:
-    """Trains on all samples and on at most `documents` labelled documents (the bound), picked evenly over languages by a hash of doc_id.
+    """Trains on all samples and on at most `documents` labelled documents (the bound), picked evenly over languages, half of them
+    one-liners of up to 80 characters, whose wordings differ from longer texts', by a hash of doc_id.
 
     The bounded sample goes to one task, which has one thread for its linear algebra; only the weights (under 1 MB) come to the driver."""
     known = docs.select(F.col("doc_id").alias("id"), "text", named_language(F.col("lang")).alias("lang")).filter("lang is not null and length(text) between 20 and 1500")
-    each = max(1, documents // len(LANGS))
+    each = max(1, documents // (2 * len(LANGS)))
     picked = samples.select(F.col("sample_id").cast("long").alias("id"), "text", "lang", F.lit(True).alias("trusted"))
     for lang in LANGS:
-        picked = picked.unionByName(known.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(each).withColumn("trusted", F.lit(False)))
+        for short in (F.length("text") <= 80, F.length("text") > 80):
+            part = known.filter((F.col("lang") == lang) & short).orderBy(F.xxhash64("id"), "id").limit(each)
+            picked = picked.unionByName(part.withColumn("trusted", F.lit(False)))
     got = picked.groupBy(F.lit(1)).applyInPandas(_trainer(options), "weights binary").collect()
     if not got:
         raise ValueError("no samples to train on")
     return pickle.loads(got[0]["weights"])
 
 
-def label_languages(docs: DataFrame, weights: dict[str, np.ndarray], *, carry: Column | None = None, sure: float = 0.85, words: int = 4, letters: int = 16) -> DataFrame:
+def label_languages(docs: DataFrame, weights: dict[str, np.ndarray], *, carry: Column | None = None, sure: float = 0.75, words: int = 4, letters: int = 16) -> DataFrame:
     """(doc_id, named, langs, main, confidence, segments) of each document's whole text; named is the column `carry` or null.
 
     langs: main language first; empty (main null, confidence 0) if the text is null, empty or holds no prose. segments are stretches of
