@@ -95,7 +95,7 @@ def butterworth_sections(order: int, cutoff: float, rate: float) -> np.ndarray:
     wc = 2 * rate * np.tan(np.pi * cutoff / rate)
     out = []
     for k in range(order // 2):
-        q = 2 * np.cos(np.pi * (2 * k + 1) / (2 * order))
+        q = 2 * np.sin(np.pi * (2 * k + 1) / (2 * order))
         c = 2 * rate
         a = np.array([c * c + q * wc * c + wc * wc, 2 * wc * wc - 2 * c * c, c * c - q * wc * c + wc * wc])
         out.append(np.concatenate([wc * wc * np.array([1, 2, 1]) / a[0], a / a[0]]))
