@@ -209,7 +209,7 @@ def train_network(docs: DataFrame, samples: DataFrame, *, documents: int = 4000,
         for short in (F.length("text") <= 80, F.length("text") > 80):
             part = known.filter((F.col("lang") == lang) & short).orderBy(F.xxhash64("id"), "id").limit(each)
             picked = picked.unionByName(part.withColumn("trusted", F.lit(False)))
-    got = picked.groupBy(F.lit(1)).applyInPandas(_trainer(options), "weights binary").collect()
+    got = picked.groupBy().applyInPandas(_trainer(options), "weights binary").collect()
     if not got:
         raise ValueError("no samples to train on")
     return pickle.loads(got[0]["weights"])
