@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import by_value
-from . import bigru
+from .bigru import init, probabilities, train
 from .prose import mask, sentences
 
 LANGS = ["en", "de", "fr", "es", "it", "nl", "pt"]
@@ -92,9 +92,9 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], *, hidd
     texts stay out while wordings that the samples lack come in."""
     rng = np.random.default_rng(seed)
     base = [(LANGS.index(a), mask(t)) for a, t in samples if a in LANGS and t]
-    p = bigru.init(hidden, len(LANGS), seed)
+    p = init(hidden, len(LANGS), seed)
     first = steps // 4 if labelled else steps
-    p, _ = bigru.train(p, _batches(base, first, width, batch, rng))
+    p, _ = train(p, _batches(base, first, width, batch, rng))
     if labelled:
         texts = [mask(t) for _, t in labelled]
         spans = [sentences(t) for t in texts]
@@ -106,7 +106,7 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], *, hidd
                     other = float(np.delete(q, LANGS.index(lang)).max())
                     if other < limit and sum(ch.isalpha() for ch in t[a:b]) >= 8:
                         kept.append((LANGS.index(lang), t[a:b]))  # as often as it occurs
-            p, _ = bigru.train(p, _batches(base + sorted(kept), rest, width, batch, rng))
+            p, _ = train(p, _batches(base + sorted(kept), rest, width, batch, rng))
     return p
 
 
@@ -129,7 +129,7 @@ def score(p: dict[str, np.ndarray], texts: list[str], spans: list[list[tuple[int
         x = np.full((n, len(part)), 32, np.uint8)
         for col, ((j, _), l, h) in enumerate(zip(part, lo, hi)):
             x[: h - l, col] = strings[j][2][l:h]
-        q = bigru.probabilities(p, x)
+        q = probabilities(p, x)
         for col, ((j, a), l) in enumerate(zip(part, lo)):
             i, k, s = strings[j]
             s = s[a : end(j, a)]
