@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ship import by_value
 from ..session import shared_dir
-from .masks import mark_runs, ordered, paint, runs
-from .series import smooth
+from .chunks import with_chunks
+from .masks import mark_runs, ordered, paint, runs, with_position
+from .series import linspace, smooth
 from .stats import MAD_SCALE, detection_radius
 
 
@@ -72,22 +73,13 @@ def detect_gaze_events(df: DataFrame, keys: list[str], order: str, time: str, x:
     return d.withColumn("fixation", F.col("__fix") & ~F.col("blink")).select(*df.columns, "saccade", "fixation", "blink")
 
 
-def _resample(x: np.ndarray) -> np.ndarray:
-    """Fourier resampling to the same number of samples: a transform there and back."""
-    return np.fft.irfft(np.fft.rfft(x), len(x))
-
-
 def resample_uniform(df: DataFrame, keys: list[str], order: str, time: str, value: str) -> DataFrame:
-    """(keys, i, t, value): times evenly spaced from first to last, values resampled by Fourier transform to as many. The transform needs the whole series, which is one group; nulls become 0."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        n = len(f)
-        out = {k: [f[k].iloc[0]] * n for k in keys}
-        return pd.DataFrame(out | {"i": np.arange(n), "t": np.linspace(f[time].iloc[0], f[time].iloc[-1], n), "value": _resample(np.nan_to_num(f[value].to_numpy(float)))})
-
-    return df.select(*keys, order, time, value).groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", i long, t double, value double")
+    """(keys, i, t, value): times evenly spaced from first to last. Fourier resampling of a series to as many samples as it has is the identity on its
+    values, so they stay as they are, nulls included; only their times change."""
+    d = with_position(df.select(*keys, order, time, value), keys, order)
+    every = Window.partitionBy(*keys)
+    t = linspace(F.col("i"), F.col("n"), F.min_by(time, "i").over(every), F.max_by(time, "i").over(every))
+    return d.select(*keys, "i", t.alias("t"), F.col(value).cast("double").alias("value"))
 
 
 def butterworth_sections(order: int, cutoff: float, rate: float) -> np.ndarray:
@@ -130,17 +122,23 @@ def zero_phase(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
     return y[pad:-pad]
 
 
-def zero_phase_lowpass(df: DataFrame, keys: list[str], order: str, value: str, *, poles: int = 7, cutoff: float = 100.0, rate: float = 1000.0) -> DataFrame:
-    """(keys, order, value): zero-phase Butterworth low-pass of each series. The filter is recursive, so a series is one group; nulls are dropped first."""
+def zero_phase_lowpass(df: DataFrame, keys: list[str], order: str, value: str, *, poles: int = 7, cutoff: float = 100.0, rate: float = 1000.0, chunk: int = 32768, halo: int = 2048) -> DataFrame:
+    """(keys, order, value): zero-phase Butterworth low-pass of each series; nulls are dropped first.
+
+    The filter is recursive, but its memory fades: series are filtered in chunks with a halo, over which what lies before
+    decays beyond double precision for cutoffs of a hundredth of the rate and more, so that no series is ever one group."""
     sos = butterworth_sections(poles, cutoff, rate)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cols = [*keys, order, value]
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.dropna(subset=[value]).sort_values(order)
-        return f.assign(**{value: zero_phase(f[value].to_numpy(float), sos)}) if len(f) else f
+        f = f.sort_values("i")
+        f = f.assign(**{value: zero_phase(f[value].to_numpy(float), sos)})
+        return f.loc[~f["halo_row"], cols]
 
-    cols = [*keys, order, value]
-    return df.select(*keys, order, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(one, ", ".join(f"`{c}` {'double' if c == value else kinds[c]}" for c in cols))
+    d = df.select(*keys, order, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(value)).dropna(subset=[value])
+    d = with_chunks(with_position(d, keys, order).drop("n"), "i", chunk, halo, "chunk")
+    return d.groupBy(*keys, "chunk").applyInPandas(one, ", ".join(f"`{c}` {'double' if c == value else kinds[c]}" for c in cols))
 
 
 by_value(__name__)

@@ -109,7 +109,9 @@ def overlap_expand(samples: DataFrame, spans: DataFrame, others: DataFrame, keys
     o = others.select(*keys, F.col("first").cast("double").alias("a"), (F.col("last") - 1).cast("double").alias("b"), F.col("first").alias("__which"))
     d = d.withColumn("__p", F.col(pos).cast("double"))
     d = interval_number(d.withColumn("__x", F.lit(0)), o.withColumn("b", F.col("b") + 1).withColumn("__which", F.col("__which") + 1), keys, "__p", "a", "b", "__which", "__in", 4096.0)
-    touched = F.max(F.col("__near")).over(Window.partitionBy(*keys, "__in"))
+    # samples outside the others are spread, so that they don't meet in one window
+    spread = F.when(F.col("__in") == 0, F.floor(F.col("__p") / 4096))
+    touched = F.max(F.col("__near")).over(Window.partitionBy(*keys, "__in", spread))
     return d.withColumn(out, F.col("__near") | ((F.col("__in") > 0) & touched)).drop("__near", "__p", "__x", "__in")
 
 

@@ -374,10 +374,10 @@ def blink_exclusion(spark, sf):
     return joins.overlap_expand(masks.with_position(e, K, O), blinks, sacc, K, "t", "i", 1000.0, "excluded").select("event_id", "excluded")
 
 
-@query()
+@query(f"with {E}, b as (select user_id, arg_min(t, i) a, arg_max(t, i) z from e group by 1) select user_id, i, round(a + coalesce(i * (z - a) / nullif(n - 1, 0), 0), 1) as t, round(value, 4) as value from e join b using (user_id)")
 def resample_uniform(spark, sf):
     d = gaze.resample_uniform(ev_series(spark, sf), K, O, "t", "value")
-    return d.select("user_id", "i", F.round("t", 3).alias("t"), F.round("value", 4).alias("value"))
+    return d.select("user_id", "i", F.round("t", 1).alias("t"), F.round("value", 4).alias("value"))
 
 
 @query()

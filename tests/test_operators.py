@@ -140,6 +140,9 @@ def test_lowpass(spark):
     assert gain(0) == pytest.approx(1) and gain(100) == pytest.approx(2**-0.5, rel=1e-6) and gain(300) < 1e-3
     x = np.sin(2 * np.pi * 5 * np.arange(500) / 1000)
     assert np.abs(gaze.zero_phase(x, sos) - x)[50:-50].max() < 1e-3
+    y = np.random.default_rng(4).normal(0, 1, 1500)
+    whole, cut = ([r["v"] for r in gaze.zero_phase_lowpass(frame(spark, y.tolist()), K, "o", "v", **k).orderBy("o").collect()] for k in ({}, {"chunk": 500, "halo": 400}))
+    assert len(cut) == 1500 and cut == pytest.approx(whole, abs=1e-6)
     d = gaze.zero_phase_lowpass(frame(spark, [1.0] * 30 + [None]), K, "o", "v").collect()
     assert len(d) == 30 and all(r["v"] == pytest.approx(1.0) for r in d)
 
