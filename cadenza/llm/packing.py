@@ -165,6 +165,8 @@ def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below:
     cut = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "full")).alias("part"), "n_tokens", "full")
     size = F.when(F.col("part") < F.col("full"), F.lit(capacity)).otherwise(F.col("n_tokens") - F.col("full") * capacity)
     cut = cut.select("doc_id", "part", (F.col("part") * capacity).alias("start"), size.cast("long").alias("size"))
+    cut = cut.checkpoint()  # the sizes are needed several times, the texts behind them read once
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     schema = "doc_id long, part long, start long, size long, container string, fill long"
     whole = cut.filter(F.col("size") == capacity).withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "part", F.monotonically_increasing_id())).withColumn("fill", F.lit(capacity).cast("long"))
     out = whole
@@ -175,7 +177,7 @@ def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below:
             break
         groups = max(1, -(-n // group_size))
         last = r == rounds - 1 or groups == 1
-        packed = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), F.lit(groups)).cast("long")).groupBy("grp").applyInPandas(_pack_group(capacity, f"r{r}"), schema)
+        packed = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), F.lit(groups)).cast("long")).repartition(tasks, "grp").groupBy("grp").applyInPandas(_pack_group(capacity, f"r{r}"), schema)
         if last:
             out = out.unionByName(packed)
             break
