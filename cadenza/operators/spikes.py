@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .chunks import with_chunks
 
 
@@ -41,6 +42,7 @@ def faulty_readings(
     stuck: int = 12,
     near: int = 5,
     risk: float = 1e-6,
+    edge: float = 0.6,
     season: int | None = None,
     chunk: int = 8192,
 ) -> DataFrame:
@@ -49,7 +51,8 @@ def faulty_readings(
     impossible: the given condition on the value. stuck: runs of `stuck` or more consecutive readings with the same
     value; a null or NaN ends a run. spike: a reading leaps away from the medians of the `near` sound readings before and after it,
     to the same side, by more than the cutoff that extreme-value fitting of the source's leaps sets at `risk`, and the levels
-    before and after differ by less than the leap (it comes back). The leap is the residual over the local seasonal level; where a
+    before and after differ by less than the leap (it comes back). Readings within two of a spike that leap over the share `edge`
+    of the cutoff belong to it. The leap is the residual over the local seasonal level; where a
     season of fixed length is known, `season` gives it in readings and each phase's median is taken off first.
 
     A source is cut into chunks with a halo, and its quantiles are aggregated map-side, so a source
@@ -89,5 +92,13 @@ def faulty_readings(
     noise = F.coalesce(F.col("step"), F.lit(0.0)) * 1.4826 * 0.7
     normal = normal.select(*source, peak_cutoff(q[0], q[1], q[2], F.col("n"), noise, risk).alias("cut"))
     peaks = s.filter("leap > 0 and shift < leap").select(*source, "i", "v", "leap")
-    spikes = peaks.join(normal, source).filter("leap > cut").select(*source, "i", "v", F.lit("spike").alias("kind"), F.try_divide("leap", "cut").alias("score"))
+    scored = peaks.join(normal, source).select(*source, "i", "v", F.try_divide("leap", "cut").alias("score")).filter(F.col("score") > edge)
+    if edge < 1:
+        # few rows are left; cut here, the windows above run once for both uses below
+        shared_dir(df.sparkSession)
+        scored = scored.checkpoint()
+        around = scored.filter("score > 1").select(*source, F.explode(F.array(*[F.col("i") + k for k in (-2, -1, 1, 2)])).alias("i")).distinct()
+        weak = scored.filter("score <= 1").join(around, [*source, "i"], "left_semi")
+        scored = scored.filter("score > 1").unionByName(weak)
+    spikes = scored.select(*source, "i", "v", F.lit("spike").alias("kind"), "score")
     return fixed.unionByName(spikes).select(*source, F.col("i").alias(idx), F.col("v").alias(value), "kind", "score")
