@@ -92,28 +92,31 @@ def matcher(tolerance: dict[int, float], width: float, phases: int):
     return step
 
 
-def keyed(rows: DataFrame, tolerance: float, width: float, phases: int, groups: int) -> DataFrame:
-    """Adds the state key (grp, phase) and the event time; rights near the border of a time bucket also go to the bucket beyond it.
+def keyed(rows: DataFrame, tolerance: float, width: float, phases: int) -> DataFrame:
+    """Adds bucket, phase and event time; rights near the border of a time bucket also go to the bucket beyond it.
 
-    A key holds the entities of one hash group within one phase of the replay clock, so the state of a key is bounded by
-    `width` seconds of its entities, and an entity with a third of all rows is spread over its buckets. Event time runs
+    Event time runs
     over a clock of phases*width seconds on which all recordings are replayed side by side; an (entity, bucket) never wraps."""
     b = F.floor(F.col("t") / width).cast("long")
     near: list[Column] = [F.floor((F.col("t") - tolerance) / width).cast("long"), F.floor((F.col("t") + tolerance) / width).cast("long")]
     d = rows.withColumn("bucket", F.explode(F.when(F.col("is_left"), F.array(b)).otherwise(F.array_distinct(F.array(*near)))))
     phase = F.pmod(F.col("bucket"), F.lit(phases))
-    d = d.withColumn("phase", phase).withColumn("grp", F.pmod(F.xxhash64("entity", "bucket"), F.lit(groups)).cast("int"))
+    d = d.withColumn("phase", phase)
     ev = phase * width + F.col("t") - F.col("bucket") * width + tolerance
     return d.withColumn("event", F.timestamp_micros((ev * 1e6).cast("long")))
 
 
-def nearest_stream(stream: DataFrame, tolerance: dict[int, float], *, width: float, phases: int, delay: str) -> DataFrame:
+def nearest_stream(stream: DataFrame, tolerance: dict[int, float], *, width: float, phases: int, delay: str, groups: int = 64) -> DataFrame:
     """Pairs from a streaming frame of keyed() rows, in append mode: each left row once, with the nearest right within its stream's tolerance.
 
+    A state key holds the (entity, bucket) pairs of one of `groups` hash groups within one phase of the clock, so that an entity
+    with a third of all rows is spread over its buckets.
+
     Left rows without a right in reach give no row. Lefts of equal number count as often as they are delivered. Rows later than `delay` behind the watermark are
     dropped by Spark, so delay must cover the disorder of the source."""
     return (
-        stream.withWatermark("event", delay)
+        stream.withColumn("grp", F.pmod(F.xxhash64("entity", "bucket"), F.lit(groups)).cast("int"))
+        .withWatermark("event", delay)
         .groupBy("grp", "phase")
         .applyInPandasWithState(matcher(tolerance, width, phases), PAIRS, "buffer binary", "append", "EventTimeTimeout")
     )
@@ -127,29 +130,31 @@ def replay_nearest(
     width: float = 30.0,
     phases: int = 6,
     slices: int = 3,
-    groups: int = 64,
+    key_rows: int = 20_000,
 ) -> DataFrame:
     """Runs recorded rows (entity, is_left, no, t) through the streaming join in the order of the replay clock and returns the pairs.
 
     entity holds the stream's code in its last two bits (entity mod 4), which picks the tolerance. The keyed rows are written once
     to the shared folder, in `slices` of the clock; each slice is moved into the stream's source folder when its turn comes, so that the watermark
-    advances and state is emitted and evicted between slices. A last row moves the watermark past every horizon. Nulls or NaN in t, entity or
+    advances and state is emitted and evicted between slices. The number of hash groups follows the rows written, so that a
+    state key holds about `key_rows` however many there are. A last row moves the watermark past every horizon. Nulls or NaN in t, entity or
     no: the row takes no part. Lefts delivered twice come once. No rows give no pairs."""
     if phases % slices:
         raise ValueError("slices must divide phases")
     reach = max(tolerance.values())
     good = rows.filter("entity is not null and no is not null and t is not null and not isnan(t)").select("entity", "is_left", "no", "t")
-    k = keyed(good, reach, width, phases, groups).withColumn("slice", F.floor(F.col("phase") / F.lit(phases // slices)).cast("int"))
-    end = spark.sql(f"select {slices} slice, 0L entity, 0L bucket, false is_left, 0L no, 0D t, -1 grp, 0L phase, timestamp_micros({int((phases * width * 3 + 60) * 1e6)}L) event")
-    cols = ["entity", "bucket", "is_left", "no", "t", "grp", "phase", "event", "slice"]
+    k = keyed(good, reach, width, phases).withColumn("slice", F.floor(F.col("phase") / F.lit(phases // slices)).cast("int"))
+    end = spark.sql(f"select {slices} slice, 0L entity, 0L bucket, false is_left, 0L no, 0D t, 0L phase, timestamp_micros({int((phases * width * 3 + 60) * 1e6)}L) event")
+    cols = ["entity", "bucket", "is_left", "no", "t", "phase", "event", "slice"]
     base = f"{shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
-    k.select(*cols).unionByName(end.select(*cols).withColumn("phase", F.col("phase").cast("long"))).repartition("slice", "grp").write.partitionBy("slice").parquet(f"{base}/staged")
+    k.select(*cols).unionByName(end.select(*cols).withColumn("phase", F.col("phase").cast("long"))).repartition("slice", F.pmod(F.xxhash64("entity", "bucket"), F.lit(32))).write.partitionBy("slice").parquet(f"{base}/staged")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{base}/arrived"))
-    schema = "entity long, bucket long, is_left boolean, no long, t double, grp int, phase long, event timestamp"
+    schema = "entity long, bucket long, is_left boolean, no long, t double, phase long, event timestamp"
+    groups = max(16, spark.read.parquet(f"{base}/staged").count() // (phases * key_rows))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/arrived")
-    pairs = nearest_stream(stream, tolerance, width=width, phases=phases, delay=f"{int((phases // slices) * width + 2 * reach + 1)} seconds")
+    pairs = nearest_stream(stream, tolerance, width=width, phases=phases, groups=groups, delay=f"{int((phases // slices) * width + 2 * reach + 1)} seconds")
     run = pairs.writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/progress").outputMode("append").start()
     try:
         for s in range(slices + 1):
