@@ -109,3 +109,9 @@ def batch_times(batches: DataFrame, keys: list[str], order: str, count: str, tim
     off = F.avg(F.col(time) - F.col("dur")).over(Window.partitionBy(*keys))
     d = d.withColumn("offset", off).withColumn("first", F.first("dur").over(w))
     return d.select(*keys, F.col("i").alias("batch"), "first_sample", "offset", (F.col("dur") - F.col("own") - F.col("first") + F.col("offset")).alias("start"))
+
+
+def trim_beginning(df: DataFrame, keys: list[str], order: str, time: str, eps_hz: float = 1.0, width_s: float = 1.0) -> DataFrame:
+    """Samples from the position on at which the rate is stable; series that never are fall out."""
+    at = stable_rate_index(df, keys, order, time, eps_hz, width_s)
+    return with_position(df, keys, order).join(at, keys).filter("i >= stable").drop("i", "n", "stable")

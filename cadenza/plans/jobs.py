@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import session_date
@@ -100,3 +100,30 @@ def clinical(sessions: DataFrame, tables: dict[str, tuple[DataFrame, str]], on:
 def flagged_subjects(subjects: DataFrame, flags: DataFrame, on: str, flag: str) -> DataFrame:
     """Distinct subjects that are flagged or that `flags` doesn't know, in order."""
     return subjects.join(flags.select(on, F.col(flag).alias("__f"), F.lit(1).alias("__there")), on, "left").filter("__f or __there is null").select(on).distinct().orderBy(on)
+
+
+def device_ids(recordings: DataFrame, log: DataFrame, task_map: dict[str, list[str]], since: str = "2024-05-10") -> DataFrame:
+    """Adds device_ids: for recordings after `since` those in the log (task_id, date, device_ids), before it those of the task map; null where neither knows.
+
+    The map is a fixed configuration of a few dozen tasks."""
+    pairs = [x for k, v in sorted(task_map.items()) for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))]
+    known = F.try_element_at(F.create_map(*pairs), F.col("task_id")) if pairs else F.lit(None).cast("array<string>")
+    j = recordings.join(log.select("task_id", "date", F.col("device_ids").alias("logged")), ["task_id", "date"], "left")
+    return j.withColumn("device_ids", F.when(F.col("date") > F.lit(since).cast("date"), F.col("logged")).otherwise(known)).drop("logged")
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Adds batch: consecutive numbers for `size` rows each, in order. For ledgers and job lists of bounded length, as it numbers all rows in one window."""
+    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+
+
+def trial_gaze(trials: DataFrame, series: DataFrame, keys: list[str], time: str, start: str, end: str) -> DataFrame:
+    """Samples with the trial they fall into, both ends included; the join is on the recording with the range as residual condition."""
+    t = trials.select(*keys, "trial", F.col(start).alias("__a"), F.col(end).alias("__b"))
+    return series.join(t, keys).filter((F.col(time) >= F.col("__a")) & (F.col(time) <= F.col("__b"))).drop("__a", "__b")
+
+
+def last_positions(positions: DataFrame, keys: list[str], target: str, order: str) -> DataFrame:
+    """The last position of every target of a trial."""
+    rest = [c for c in positions.columns if c not in (*keys, target)]
+    return positions.groupBy(*keys, target).agg(*[F.max_by(c, order).alias(c) if c != order else F.max(c).alias(c) for c in rest])

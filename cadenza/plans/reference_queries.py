@@ -587,3 +587,27 @@ def frame_means(spark, sf):
 def frame_join(spark, sf):
     m = table(spark, sf, "mean_rgb").filter("FrameNum is not null").select("recording_id", "FrameNum_Bag", "FrameNum").distinct()
     return m.join(table(spark, sf, "realsense").select("recording_id", "FrameNum", "FrameNum_RealSense").distinct(), ["recording_id", "FrameNum"]).select("recording_id", "FrameNum_Bag", "FrameNum", "FrameNum_RealSense")
+
+
+@query("""with m as (select distinct recording_id, marker_idx, marker_text, Time_LSL from marker where Time_LSL is not null and not isnan(Time_LSL)),
+t as (select recording_id, Time_LSL a, row_number() over (partition by recording_id order by marker_idx) k from m where lower(marker_text) like 'task_start%'), u as (select recording_id, Time_LSL b, row_number() over (partition by recording_id order by marker_idx) k from m where lower(marker_text) like 'task_end%'),
+p as (select t.recording_id, a, b from t join u on t.recording_id = u.recording_id and t.k = u.k where a <= b), e as (select distinct recording_id, sample_idx, Time_LSL from eyelink where Time_LSL is not null and not isnan(Time_LSL))
+select recording_id, sample_idx, exists (select 1 from p where p.recording_id = e.recording_id and e.Time_LSL between a and b) as in_task from e""")
+def task_flags(spark, sf):
+    from ..operators.devices import flagged
+
+    m = nan_to_null(table(spark, sf, "marker").select("recording_id", "marker_idx", "marker_text", "Time_LSL")).distinct().filter("Time_LSL is not null")
+    e = nan_to_null(table(spark, sf, "eyelink").select("recording_id", "sample_idx", "Time_LSL")).distinct().filter("Time_LSL is not null")
+    d = flagged(e, m.withColumnRenamed("Time_LSL", "mt"), ["recording_id"], "marker_idx", "marker_text", "mt", "Time_LSL", *ev.PREFIXES["task"], "in_task")
+    return d.select("recording_id", "sample_idx", "in_task")
+
+
+@query("""with e as (select distinct on (recording_id, sample_idx) recording_id, sample_idx, Time_EDF, Time_LSL, R_GazeX, ResolutionX from eyelink where Time_LSL is not null and not isnan(Time_LSL)),
+l as (select *, lag(R_GazeX) over w xp, lead(R_GazeX) over w xn, lag(Time_LSL) over w tp, lead(Time_LSL) over w tn from e window w as (partition by recording_id order by sample_idx)), d as (select *, Time_LSL - tp hs, tn - Time_LSL hd from l)
+select recording_id, sample_idx, round(case when tp is null then (xn - R_GazeX) / nullif(hd, 0) when tn is null then (R_GazeX - xp) / nullif(hs, 0)
+  else (hs * hs * xn + (hd * hd - hs * hs) * R_GazeX - hd * hd * xp) / nullif(hs * hd * (hs + hd), 0) end / nullif(ResolutionX, 0), 1) as velocity from d""")
+def gaze_velocity(spark, sf):
+    e = table(spark, sf, "eyelink").select("recording_id", "sample_idx", "Time_LSL", "R_GazeX", "ResolutionX")
+    e = nan_to_null(e).filter("Time_LSL is not null").dropDuplicates(["recording_id", "sample_idx"])
+    g = series.gradient(F.col("R_GazeX"), F.col("Time_LSL"), masks.ordered(["recording_id"], "sample_idx"))
+    return e.select("recording_id", "sample_idx", F.round(F.try_divide(g, F.col("ResolutionX")), 1).alias("velocity"))

@@ -37,3 +37,8 @@ def wait_for_tables(spark: SparkSession, names: list[str], polls: int = 6, inter
 
 def jdbc_options(host: str, port: int, database: str, user: str, password: str) -> dict[str, str]:
     return {"url": f"jdbc:postgresql://{host}:{port}/{database}", "user": user, "password": password, "driver": "org.postgresql.Driver"}
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id) of a text file with one id per line; blank lines are dropped."""
+    return spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")

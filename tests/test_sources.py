@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.corrections import correct
 from cadenza.operators.chunks import previous_row
-from cadenza.plans.jobs import SliceOptions, clinical, colour_plan, flagged_subjects, pending, slice_files
-from cadenza.sources import catalogue, eye_ascii, phone_json
+from cadenza.operators.eye_merge import align_files, drop_blinks, merge_eye_data
+from cadenza.plans.jobs import SliceOptions, batches, clinical, colour_plan, device_ids, flagged_subjects, last_positions, pending, slice_files, trial_gaze
+from cadenza.sources import catalogue, eye_ascii, phone_json, sinks
 from cadenza.streaming.ingest import ingest
 
 
@@ -72,3 +73,40 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     run()
     assert sorted(r["b"] for r in spark.read.parquet(out).collect()) == [2, 4, 6]
     assert spark.read.parquet(log).count() == 2
+
+
+def test_eye_merge(spark):
+    n = 40
+    s = spark.createDataFrame([(1, i, 100.0 + i, i / 10, 500.0) for i in range(n)], "rec int, sample_idx int, Time_EDF double, Time_LSL double, Target_Distance double")
+    g = spark.createDataFrame([(1, 100.0 + i, 2.0 * i, 0.0, 3.0 * i, 0.0, 2.0, 1.0) for i in range(n) if i != 7], "rec int, Time_EDF double, L_X double, L_Y double, R_X double, R_Y double, X_Res double, Y_Res double")
+    h = spark.createDataFrame([(1, 100.0 + i, 1.0, 1.0, 1.0, 1.0) for i in range(n)], "rec int, Time_EDF double, L_X_HREF double, L_Y_HREF double, R_X_HREF double, R_Y_HREF double")
+    spans = spark.createDataFrame([(1, "L", "blink", 103.0, 105.0), (1, "R", "saccade", 110.0, 112.0)], "rec int, eye string, kind string, start double, end double")
+    task = spark.createDataFrame([(1, 102.0, 110.0), (1, 115.0, 130.0)], "rec int, start double, end double")
+    d = {r["sample_idx"]: r for r in merge_eye_data(s, g, h, spans, ["rec"]).collect()}
+    assert len(d) == n and abs(d[20]["L_VX"] - 10) < 1e-9 and abs(d[20]["R_VX"] - 15) < 1e-9 and d[7]["L_X"] is None
+    assert [i for i in d if d[i]["L_Blink"]] == [3, 4] and [i for i in d if d[i]["R_Saccade"]] == [10, 11]
+    assert d[0]["Time_EDF"] == 0.1 and d[0]["Target_Distance"] == 0.5
+    only = merge_eye_data(s, g, h, spans, ["rec"], task=task, min_task_samples=5)
+    assert sorted(r["sample_idx"] for r in only.collect()) == list(range(15, 30))
+    assert merge_eye_data(s, g, h, spans, ["rec"], task=task, min_task_samples=50).count() == 0
+    assert drop_blinks(s.withColumn("b", F.col("sample_idx") < 3), "Time_LSL", "Time_LSL", "b").count() == n - 3
+
+
+def test_align_ids_sinks_and_streams(spark, tmp_path):
+    a = spark.createDataFrame([("s", 1, "x1"), ("s", 2, "x2"), ("t", 1, "x3")], "k string, at int, file string")
+    got = align_files(a, a.filter("k = 's'").select("k", "file"), ["k"], "at").collect()
+    assert [(r["k"], r["file"]) for r in got] == [("s", "x2")]
+    (tmp_path / "ids.txt").write_text(" a \n\nb\n")
+    assert sorted(r[0] for r in catalogue.read_ids(spark, str(tmp_path / "ids.txt")).collect()) == ["a", "b"]
+    sinks.write_series(a, str(tmp_path / "out"), ["k"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    st = spark.createDataFrame([("p", "Marker", "d"), ("p", "Cam", "d"), ("p", "Mic", None), ("p", "Eye", "d")], "path string, name string, description string")
+    v = spark.createDataFrame([("p", "Cam,a,b.avi"), ("p", "Cam,c.avi"), ("p", "odd")], "path string, text string")
+    assert {r["name"]: r["videos"] for r in sinks.attach_videos(st, v).collect()} == {"Cam": ["a,b.avi", "c.avi"], "Eye": []}
+    rec = spark.sql("select * from values ('t', date '2024-06-01'), ('t', date '2023-01-01'), ('u', date '2023-01-01') as x(task_id, date)")
+    log = spark.sql("select 't' task_id, date '2024-06-01' date, array('new') device_ids")
+    assert [r["device_ids"] for r in device_ids(rec, log, {"t": ["old"]}).orderBy("task_id", "date").collect()] == [["old"], ["new"], None]
+    assert [r["batch"] for r in batches(a, "file", 2).orderBy("file").collect()] == [0, 0, 1]
+    tr = spark.createDataFrame([("s", 1, 0, 1)], "k string, trial int, a int, b int")
+    assert trial_gaze(tr, a, ["k"], "at", "a", "b").count() == 1
+    assert last_positions(a.withColumn("target", F.lit(1)), ["k"], "target", "at").count() == 2
