@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def with_chunks(df: DataFrame, idx: str, size: int = 8192, halo: int = 64, out: str = "chunk") -> DataFrame:
-    """Adds `out` and `halo_row`: every row is in its own chunk of `size` index values, and rows within
-    `halo` of a border also, marked halo_row, in the neighbouring one. An operator that looks at most
+    """Adds `out` and `__halo`: every row is in its own chunk of `size` index values, and rows within
+    `halo` of a border also, marked __halo, in the neighbouring one. An operator that looks at most
     `halo` rows around then needs no window over a whole recording, so that a recording which holds a
     third of all rows is spread over as many tasks as it has chunks. Null indexes go to chunk 0."""
     i = F.coalesce(F.col(idx), F.lit(0)).cast("long")
@@ -18,7 +18,7 @@ def with_chunks(df: DataFrame, idx: str, size: int = 8192, halo: int = 64, out:
         F.array(own, F.when((pos < halo) & (own > 0), own - 1), F.when(pos >= size - halo, own + 1)),
         lambda c: c.isNotNull(),
     )
-    return df.withColumn("__own", own).withColumn(out, F.explode(near)).withColumn("halo_row", F.col(out) != F.col("__own")).drop("__own")
+    return df.withColumn("__own", own).withColumn(out, F.explode(near)).withColumn("__halo", F.col(out) != F.col("__own")).drop("__own")
 
 
 def by(*cols: str) -> WindowSpec:

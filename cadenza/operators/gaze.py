@@ -134,7 +134,7 @@ def zero_phase_lowpass(df: DataFrame, keys: list[str], order: str, value: str, *
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("i")
         f = f.assign(**{value: zero_phase(f[value].to_numpy(float), sos)})
-        return f.loc[~f["halo_row"], cols]
+        return f.loc[~f["__halo"], cols]
 
     d = df.select(*keys, order, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(value)).dropna(subset=[value])
     d = with_chunks(with_position(d, keys, order).drop("n"), "i", chunk, halo, "chunk")

@@ -72,19 +72,19 @@ def faulty_readings(
     d = d.withColumn("stuck", (F.count(F.lit(1)).over(r) >= stuck) & F.col("v").isNotNull())
     d = d.filter("v is not null")
     d = d.withColumn("bad", F.col("bad") & F.col("v").isNotNull())
-    fixed = d.filter("(bad or stuck) and not halo_row").select(*source, "i", "v", F.when(F.col("bad"), "impossible").otherwise("stuck").alias("kind"), F.lit(None).cast("double").alias("score"))
+    fixed = d.filter("(bad or stuck) and not __halo").select(*source, "i", "v", F.when(F.col("bad"), "impossible").otherwise("stuck").alias("kind"), F.lit(None).cast("double").alias("score"))
 
     s = d.filter("not bad and not stuck")
     y = F.col("v")
     if season:
         phase = F.pmod(F.col("i"), F.lit(season))
-        profile = s.filter("not halo_row").groupBy(*source, phase.alias("p")).agg(F.percentile_approx("v", 0.5, 1000).alias("usual"))
+        profile = s.filter("not __halo").groupBy(*source, phase.alias("p")).agg(F.percentile_approx("v", 0.5, 1000).alias("usual"))
         s = s.withColumn("p", phase).join(profile, [*source, "p"], "left").drop("p")
         y = F.col("v") - F.coalesce(F.col("usual"), F.lit(0.0))
     s = s.withColumn("y", y)
     o = Window.partitionBy(*key).orderBy("run", F.col("i").asc_nulls_first())
     s = s.withColumn("a", _median_of([F.lag("y", k).over(o) for k in range(1, near + 1)])).withColumn("b", _median_of([F.lead("y", k).over(o) for k in range(1, near + 1)]))
-    s = s.withColumn("diff", F.abs(F.col("y") - F.lag("y").over(o))).filter("not halo_row")
+    s = s.withColumn("diff", F.abs(F.col("y") - F.lag("y").over(o))).filter("not __halo")
     da, db = F.col("y") - F.col("a"), F.col("y") - F.col("b")
     s = s.withColumn("leap", F.when(da * db > 0, F.least(F.abs(da), F.abs(db))).otherwise(0.0)).withColumn("shift", F.abs(F.col("a") - F.col("b")))
     normal = s.groupBy(*source).agg(F.percentile_approx("leap", [0.8, 0.9, 0.95], 2000).alias("q"), F.percentile_approx("diff", 0.5, 2000).alias("step"), F.count(F.lit(1)).alias("n"))

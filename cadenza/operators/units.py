@@ -156,5 +156,5 @@ def clock_units(
     voted = F.when(F.col("__most") > 0, F.array_position("__n", F.col("__most")).cast("int") - 1)
     k = F.coalesce(F.col("__sure"), F.when(best["g"] < 60, best["k"]), voted)
     name = F.element_at(F.array(*[F.lit(u) for u in _TIME_UNITS]), k + 1)
-    d = d.withColumn(out, F.when(V.isNotNull() & k.isNotNull(), name)).filter("not halo_row")
-    return d.drop(*[c for c in d.columns if c.startswith("__") or c == "halo_row"])
+    d = d.withColumn(out, F.when(V.isNotNull() & k.isNotNull(), name)).filter("not __halo")
+    return d.drop(*[c for c in d.columns if c.startswith("__")])
