@@ -39,8 +39,9 @@ def filter_small(df: DataFrame, keys: list[str], order: str, time: str, mask: st
 
 def detect_blinks(df: DataFrame, keys: list[str], order: str, time: str, x: str, y: str, fixation: str, factor: float = 4.0) -> DataFrame:
     """Adds blink: fixations whose dispersion on both axes lies `factor` median deviations of all fixations below their median (in log10). A null position in a fixation, its end
-    included, makes the recording's threshold null, so that it has no blinks."""
-    m = mark_runs(df.drop("i", "n", "run"), keys, order, fixation)
+    included, makes the recording's threshold null, so that it has no blinks. The runs and their dispersions are checkpointed, as both are used several times."""
+    shared_dir(df.sparkSession)
+    m = mark_runs(df.drop("i", "n", "run"), keys, order, fixation).checkpoint()
     r = runs(m, keys, fixation, time).filter("on").select(*keys, "run", "first", "last")
     # a fixation's dispersion includes the sample after it: samples go to their run, and a run's first sample to the run before too
     w = ordered(keys, "i")
@@ -52,7 +53,7 @@ def detect_blinks(df: DataFrame, keys: list[str], order: str, time: str, x: str,
         F.when(F.count(x) == F.count(F.lit(1)), F.percentile(F.abs(F.col(x) - F.col("mx")), 0.5)).alias("dx"), F.when(F.count(y) == F.count(F.lit(1)), F.percentile(F.abs(F.col(y) - F.col("my")), 0.5)).alias("dy"),
     )
     log = lambda c: F.log10(F.col(c) * MAD_SCALE + 1e-7)
-    dev = dev.select(*keys, "run", log("dx").alias("lx"), log("dy").alias("ly"))
+    dev = dev.select(*keys, "run", log("dx").alias("lx"), log("dy").alias("ly")).checkpoint()
     med = dev.groupBy(*keys).agg(F.percentile("lx", 0.5).alias("cx"), F.percentile("ly", 0.5).alias("cy"), F.count("lx").alias("kx"), F.count("ly").alias("ky"), F.count(F.lit(1)).alias("k"))
     dm = dev.join(med, keys).groupBy(*keys, "cx", "cy", "kx", "ky", "k").agg(F.percentile(F.abs(F.col("lx") - F.col("cx")), 0.5).alias("sx"), F.percentile(F.abs(F.col("ly") - F.col("cy")), 0.5).alias("sy"))
     limit = dm.select(*keys, F.when(F.col("kx") == F.col("k"), F.col("cx") - factor * MAD_SCALE * F.col("sx")).alias("tx"), F.when(F.col("ky") == F.col("k"), F.col("cy") - factor * MAD_SCALE * F.col("sy")).alias("ty"))
@@ -63,12 +64,12 @@ def detect_blinks(df: DataFrame, keys: list[str], order: str, time: str, x: str,
 def detect_gaze_events(df: DataFrame, keys: list[str], order: str, time: str, x: str, y: str, vx: str, vy: str, *, factor: float = 5.0, min_duration: float = 0.016, window: int = 5, blink_factor: float = 4.0) -> DataFrame:
     """Input columns and saccade, fixation, blink: smoothed velocities, adaptive radii, then blinks among the fixations. The input stays as it is.
 
-    Each stage joins aggregates of its input back to it, so stages are cut by checkpoints in the shared folder; else every
+    Each stage joins aggregates of its input back to it, so stages are cut by checkpoints in the shared folder (here and in detect_blinks); else every
     later stage would run the earlier ones again for each of its branches."""
     shared_dir(df.sparkSession)
     d = smooth(df, keys, order, vx, window, "__vx").drop("i", "n")
     d = smooth(d, keys, order, vy, window, "__vy").drop("i", "n").checkpoint()
-    d = detect_saccades(d, keys, order, time, "__vx", "__vy", factor, min_duration).withColumn("__fix", ~F.col("saccade")).checkpoint()
+    d = detect_saccades(d, keys, order, time, "__vx", "__vy", factor, min_duration).withColumn("__fix", ~F.col("saccade"))
     d = detect_blinks(d, keys, order, time, x, y, "__fix", blink_factor)
     return d.withColumn("fixation", F.col("__fix") & ~F.col("blink")).select(*df.columns, "saccade", "fixation", "blink")
 
