@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ship import by_value
@@ -205,10 +205,15 @@ def train_network(docs: DataFrame, samples: DataFrame, *, documents: int = 4000,
     known = docs.select(F.col("doc_id").alias("id"), "text", named_language(F.col("lang")).alias("lang")).filter("lang is not null and length(text) between 20 and 1500")
     each = max(1, documents // (2 * len(LANGS)))
     picked = samples.select(F.col("sample_id").cast("long").alias("id"), "text", "lang", F.lit(True).alias("trusted"))
-    for lang in LANGS:
-        for short in (F.length("text") <= 80, F.length("text") > 80):
-            part = known.filter((F.col("lang") == lang) & short).orderBy(F.xxhash64("id"), "id").limit(each)
-            picked = picked.unionByName(part.withColumn("trusted", F.lit(False)))
+    known = known.withColumn("short", F.length("text") <= 80).withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 2))
+    # the counts give a bound on the hash below which each group's first rows lie, so that only a few rows are sorted
+    near = F.lit(False)
+    for r in known.groupBy("lang", "short").count().collect():
+        share = min(1.0, 4 * each / r["count"])
+        near = near | ((F.col("lang") == r["lang"]) & (F.col("short") == r["short"]) & (F.col("h") <= F.lit(int(share * 2**62))))
+    w = Window.partitionBy("lang", "short").orderBy("h", "id", "text")
+    part = known.filter(near).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each)
+    picked = picked.unionByName(part.select("id", "text", "lang", F.lit(False).alias("trusted")))
     got = picked.groupBy().applyInPandas(_trainer(options), "weights binary").collect()
     if not got:
         raise ValueError("no samples to train on")
