@@ -138,9 +138,10 @@ def score(p: dict[str, np.ndarray], texts: list[str], spans: list[list[tuple[int
     return [s / np.maximum(s.sum(1, keepdims=True), 1e-9) for s in sums]
 
 
-def judge(text: str, spans: list[tuple[int, int]], probs: np.ndarray, *, sure: float, words: int, letters: int) -> tuple[list[str], str | None, float, list[tuple]]:
+def judge(text: str, spans: list[tuple[int, int]], probs: np.ndarray, *, sure: float, words: int, letters: int, named: str | None = None, doubt: float = 0.08) -> tuple[list[str], str | None, float, list[tuple]]:
     """(languages, main one, its confidence, segments). The main language has the most letters by pooled probability. Another counts
-    if a whole sentence of at least `words` words and `letters` letters is in it with probability `sure`; shorter or less
+    if a whole sentence of at least `words` words and `letters` letters is in it with probability `sure`, and, where the document's label `named` is another
+    language, that one has less than `doubt`; shorter or less
     certain ones get the likeliest of the languages so found."""
     if not len(spans):
         return [], None, 0.0, []
@@ -150,6 +151,9 @@ def judge(text: str, spans: list[tuple[int, int]], probs: np.ndarray, *, sure: f
     count = np.array([len(re.findall(r"[^\W\d_]+", text[a:b])) for a, b in spans])
     best = probs.argmax(1)
     clear = (probs.max(1) >= sure) & (count >= words) & (size >= letters)
+    if named in LANGS:
+        k = LANGS.index(named)
+        clear &= (best == k) | (probs[:, k] < doubt)
     lang = np.where(clear, best, -1)
     if clear.any():
         weight = np.bincount(best[clear], weights=size[clear], minlength=len(LANGS))
@@ -178,7 +182,7 @@ def _labeller(weights, sure: float, words: int, letters: int):
                 texts = [mask(t) if t else "" for t in g["text"]]
                 spans = [sentences(t) for t in texts]
                 probs = score(p, texts, spans)
-                got = [judge(t, s, q, sure=sure, words=words, letters=letters) for t, s, q in zip(texts, spans, probs)]
+                got = [judge(t, s, q, sure=sure, words=words, letters=letters, named=c) for t, s, q, c in zip(texts, spans, probs, g["named"])]
                 yield pd.DataFrame({
                     "doc_id": g["doc_id"], "named": g["named"], "langs": [x[0] for x in got], "main": [x[1] for x in got], "confidence": [x[2] for x in got],
                     "segments": [[{"start": s, "end": e, "lang": c, "confidence": q} for s, e, c, q in x[3]] for x in got],
