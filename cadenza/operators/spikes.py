@@ -9,12 +9,25 @@ from ..session import shared_dir
 from .chunks import with_chunks
 
 
-def _median_of(cols: list[Column]) -> Column:
-    """Median of the non-null values among a few columns."""
-    a = F.array_sort(F.filter(F.array(*cols), lambda x: x.isNotNull()))
-    n = F.size(a)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(a, lo) + F.get(a, hi)) / 2)
+def _with_level(df: DataFrame, near: list[str], out: str) -> DataFrame:
+    """Adds `out`, the level that readings on one side, nearest first, let expect, and `out`_flat, their median; null without readings.
+
+    The level is the median, led half the way on towards the reading along the side's slope. At a turning point of smooth movement a flat
+    median falls short on both sides and a full line goes as far beyond it; half the way meets it. The slope is the value nearest to 0 in the range of the middle three among the differences over
+    one and two readings, so that a spike's other readings, up to two of the side, don't tilt it."""
+    c = [F.col(x) for x in near]
+    steps = [c[k] - c[k + 1] for k in range(len(c) - 1)] + [(c[k] - c[k + 2]) / 2 for k in range(len(c) - 2)]
+    count = lambda cols: sum((x.isNotNull().cast("int") for x in cols), F.lit(0))
+    # nulls come first in a sorted array
+    df = df.withColumn("__v", F.sort_array(F.array(*c))).withColumn("__d", F.sort_array(F.array(*steps))).withColumn("__n", count(c)).withColumn("__m", count(steps))
+    n, m = F.col("__n"), F.col("__m")
+    half = lambda x: F.floor(x / 2).cast("int")
+    median = (F.get("__v", len(c) - n + half(n - 1)) + F.get("__v", len(c) - n + half(n))) / 2
+    more = (m > 2).cast("int")
+    low, high = F.get("__d", len(steps) - m + half(m - 1) - more), F.get("__d", len(steps) - m + half(m) + more)
+    slope = F.when(m > 0, F.greatest(low, F.least(high, F.lit(0.0)))).otherwise(0.0)
+    df = df.withColumn(f"{out}_flat", F.when(n > 0, median)).withColumn(out, F.col(f"{out}_flat") + slope * (n + 1) / 4)
+    return df.drop("__v", "__d", "__n", "__m")
 
 
 def peak_cutoff(low: Column, mid: Column, high: Column, n: Column, noise: Column, risk: float, trust: float = 5000.0) -> Column:
@@ -49,9 +62,9 @@ def faulty_readings(
     """The faulty readings: source columns, idx, value, kind ('impossible', 'stuck' or 'spike', in this order of precedence), score.
 
     impossible: the given condition on the value. stuck: runs of `stuck` or more consecutive readings with the same
-    value; a null or NaN ends a run. spike: a reading leaps away from the medians of the `near` sound readings before and after it,
+    value; a null or NaN ends a run. spike: a reading leaps away from the levels of the `near` sound readings before and after it, which follow movement (`_with_level`),
     to the same side, by more than the cutoff that extreme-value fitting of the source's leaps sets at `risk`, and the levels
-    before and after differ by less than the leap (it comes back). Readings within two of a spike that leap over the share `edge`
+    or the medians before and after differ by less than the leap (it comes back). Readings within two of a spike that leap over the share `edge`
     of the cutoff belong to it. The leap is the residual over the local seasonal level; where a
     season of fixed length is known, `season` gives it in readings and each phase's median is taken off first.
 
@@ -83,10 +96,12 @@ def faulty_readings(
         y = F.col("v") - F.coalesce(F.col("usual"), F.lit(0.0))
     s = s.withColumn("y", y)
     o = Window.partitionBy(*key).orderBy("run", F.col("i").asc_nulls_first())
-    s = s.withColumn("a", _median_of([F.lag("y", k).over(o) for k in range(1, near + 1)])).withColumn("b", _median_of([F.lead("y", k).over(o) for k in range(1, near + 1)]))
-    s = s.withColumn("diff", F.abs(F.col("y") - F.lag("y").over(o))).filter("not __halo")
+    before, after = [f"__p{k}" for k in range(1, near + 1)], [f"__f{k}" for k in range(1, near + 1)]
+    s = s.withColumns({c: F.lag("y", k).over(o) for k, c in enumerate(before, 1)} | {c: F.lead("y", k).over(o) for k, c in enumerate(after, 1)}).filter("not __halo")
+    s = s.withColumn("diff", F.abs(F.col("y") - F.col(before[0])))
+    s = _with_level(_with_level(s, before, "a"), after, "b")
     da, db = F.col("y") - F.col("a"), F.col("y") - F.col("b")
-    s = s.withColumn("leap", F.when(da * db > 0, F.least(F.abs(da), F.abs(db))).otherwise(0.0)).withColumn("shift", F.abs(F.col("a") - F.col("b")))
+    s = s.withColumn("leap", F.when(da * db > 0, F.least(F.abs(da), F.abs(db))).otherwise(0.0)).withColumn("shift", F.least(F.abs(F.col("a") - F.col("b")), F.abs(F.col("a_flat") - F.col("b_flat"))))
     normal = s.groupBy(*source).agg(F.percentile_approx("leap", [0.8, 0.9, 0.95], 2000).alias("q"), F.percentile_approx("diff", 0.5, 2000).alias("step"), F.count(F.lit(1)).alias("n"))
     q = F.col("q")
     noise = F.coalesce(F.col("step"), F.lit(0.0)) * 1.4826 * 0.7

@@ -60,3 +60,18 @@ def test_season(spark):
     v = np.where(np.arange(400) % 10 == 0, 8.0, 0.0) + np.random.default_rng(6).normal(0, 0.05, 400)
     v[205] += 5
     assert run(spark, rows_of(1, v), season=10) == {(1, 205): "spike"}
+
+
+def test_spikes_in_vigorous_movement(spark):
+    i, rng = np.arange(400), np.random.default_rng(8)
+    v = 4 * np.sin(i * 2 * np.pi / 30) * (0.6 + 0.4 * np.sin(i / 70)) - 0.5 + rng.normal(0, 0.04, 400)
+    at = [20, 75, 76, 128, 129, 130, 203, 290, 351]
+    v[at] += np.where(v[at] > -0.5, -6, 6)
+    assert run(spark, rows_of(1, v)) == {(1, k): "spike" for k in at}
+
+
+def test_uneven_spikes_keep_their_edges(spark):
+    v = 0.5 + np.random.default_rng(9).normal(0, 0.02, 200)
+    v[60:63] += (1.6, 2.6, 1.4)
+    v[120:123] -= (2.7, 5.6, 3.2)
+    assert run(spark, rows_of(1, v)) == {(1, k): "spike" for k in (60, 61, 62, 120, 121, 122)}
