@@ -96,7 +96,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
 
     uses: (doc_id, source, copies, n_tokens): how often a record is used for a source. A record is one text; its membership pattern
     is the set of target sources it occurs in, and doc_id is its smallest there. No record is used more often than the strictest
-    of its sources allows. report: per target (source, target_share, actual_share, target_tokens, actual_tokens, records, most_uses).
+    of its sources allows. report: per target (source, target_share, actual_share, target_tokens, actual_tokens, records, most_uses,
+    folded_rows, folded_tokens, shared_records, shared_tokens). Folded are the source's further copies of a record, which add no capacity; shared are records that also occur in another source.
     `total` in tokens; by default the largest at which every source that has texts reaches its share. Sources without any text stay at 0
     and show as such; documents of sources without a target are not used.
 
@@ -108,8 +109,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     t = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.filter("source is not null").collect()]
     shares, repeats = {s: v for s, v, _ in t}, {s: max(1, k) for s, _, k in t}
     d = docs.filter("n_tokens > 0 and key is not null").join(F.broadcast(targets.select("source")), "source", "left_semi")
-    own = d.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
-    rec = own.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("n_tokens").alias("n_tokens"))
+    own = d.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("rows"))
+    rec = own.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id", "rows"))).alias("members"), F.max("n_tokens").alias("n_tokens"))
     rec = rec.withColumn("pattern", F.transform("members", lambda m: m["source"])).checkpoint()
     stat = rec.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
     patterns = {tuple(r["pattern"]): int(r["tokens"]) for r in stat}
@@ -140,8 +141,12 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     uses = uses.select("doc_id", "source", "copies", "n_tokens").checkpoint()
     got = uses.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("actual_tokens"), F.count(F.lit(1)).alias("records"), F.max("copies").alias("most_uses"))
     zero = F.lit(0).cast("long")
-    report = targets.join(got, "source", "left").select(
+    m = rec.select(F.explode("members").alias("m"), "n_tokens", (F.size("members") > 1).cast("long").alias("more")).select("m.source", (F.col("m.rows") - 1).alias("again"), "n_tokens", "more")
+    folds = {"folded_rows": F.col("again"), "folded_tokens": F.col("again") * F.col("n_tokens"), "shared_records": F.col("more"), "shared_tokens": F.col("more") * F.col("n_tokens")}
+    folded = m.groupBy("source").agg(*[F.sum(c).alias(k) for k, c in folds.items()])
+    report = targets.join(got, "source", "left").join(folded, "source", "left").select(
         "source", "target_share", F.round(F.try_divide(F.coalesce("actual_tokens", zero), F.sum("actual_tokens").over(Window.partitionBy())), 6).alias("actual_share"),
         F.round(F.col("target_share") * total).cast("long").alias("target_tokens"), F.coalesce("actual_tokens", zero).alias("actual_tokens"), F.coalesce("records", zero).alias("records"), F.coalesce("most_uses", zero).alias("most_uses"),
+        *[F.coalesce(k, zero).alias(k) for k in folds],
     )
     return uses, report

@@ -63,3 +63,10 @@ def test_empty(spark):
     uses, report = mix(d.limit(0), t)
     assert uses.count() == 0 and report.collect()[0]["actual_tokens"] == 0
     assert mix(d, t.limit(0))[0].count() == 0
+
+
+def test_report_tells_what_was_folded(spark):
+    d = spark.createDataFrame([(1, "a", "x", 5, 0.0), (2, "a", "x", 5, 0.0), (3, "a", "x", 5, 0.0), (4, "b", "x", 5, 0.0), (5, "b", "y", 7, 0.0), (6, "a", "z", 9, 0.0), (7, "a", "z", 0, 0.0)], D)
+    _, report = mix(d, spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("gone", 0.1, 1)], T))
+    got = {r["source"]: (r["folded_rows"], r["folded_tokens"], r["shared_records"], r["shared_tokens"]) for r in report.collect()}
+    assert got == {"a": (2, 10, 1, 5), "b": (0, 0, 1, 5), "gone": (0, 0, 0, 0)}
