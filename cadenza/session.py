@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cadenza", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         d = "file://" + tempfile.mkdtemp(prefix="cadenza-", dir=os.environ.get("TMPDIR"))
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """The rows of a scan dealt out anew for work that is dear per row, but only where the scan has fewer tasks than the session has cores:
+    large inputs have many splits and are read where they lie, without a shuffle. `df` must not hold a shuffle itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() > per_core * cores else df.repartition(per_core * cores)
