@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.units import conversion_table, to_common
 from ..plans.data_queries import clock_readings
 from ..sources.tables import table
-from .language import label_languages, named_language, train_network
+from .language import label_languages, named_language, train_networks
 from .mixing import mix
 from .nearest_stream import replay_nearest
 from .packing import pack, packing_report
@@ -70,7 +70,7 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return label_languages(docs, train_network(docs, table(spark, sf, "lang_samples")), carry=named_language(F.col("lang")).alias("named"))
+    return label_languages(docs, train_networks(docs, table(spark, sf, "lang_samples")), carry=named_language(F.col("lang")).alias("named"))
 
 
 def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
