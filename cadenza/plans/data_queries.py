@@ -24,11 +24,15 @@ def p1_grid(spark: SparkSession, sf: str) -> DataFrame:
     names = {"start": "grid_start_ms", "end": "grid_end_ms", "step": "grid_step_ms"}
     a = regular_grid(m, d.filter("device = 'Mbient'"), valid=(-16.0, 16.0), **names)
     b = regular_grid(y, d.filter("device = 'Yeti'"), **names)
-    return a.unionByName(b)
+    return a.unionByName(b).withColumn("value", F.round("value", 4)).withColumn("support", F.round("support", 4))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p1_grid(spark, sf).filter("readings = 0").select("recording_id", F.col("slot").cast("long").alias("slot"))
+    """The slots that the regression marks as filled or missing, with a check on its values: a filled slot must have one and a missing one none."""
+    d = p1_grid(spark, sf).filter(F.col("mark").isin("filled", "missing"))
+    sound = F.when(F.col("mark") == "filled", F.col("value").isNotNull() & ~F.isnan("value")).otherwise(F.col("value").isNull())
+    d = d.filter(F.coalesce(sound, F.lit(False)) | F.raise_error(F.concat(F.lit("mark and value disagree at slot "), F.col("slot"))).cast("boolean"))
+    return d.select("recording_id", F.col("slot").cast("long").alias("slot"))
 
 
 P1_FOUND = """
@@ -45,6 +49,25 @@ with r as (
 select recording_id, slot from g where not exists (select 1 from h where h.recording_id = g.recording_id and h.slot = g.slot)
 """
 
+P1_GRID = """
+with r as (
+  select distinct recording_id, sample_idx, Time_Mbient t, AccelX y, abs(AccelX) <= 16 ok from mbient where Time_Mbient is not null and AccelX is not null and not isnan(AccelX)
+  union all select distinct recording_id, sample_idx, Time_LSL * 1000, Amplitude, true from yeti where Time_LSL is not null and Amplitude is not null and not isnan(Amplitude)
+), g as (
+  select recording_id, grid_start_ms::double g0, grid_end_ms::double g1, grid_step_ms::double gs, unnest(range(0, ceil((grid_end_ms - grid_start_ms) / grid_step_ms)::bigint)) slot
+  from device_data where device in ('Mbient', 'Yeti') and grid_step_ms > 0
+), w as (
+  select g.recording_id, slot, any_value(g0 + (slot + 0.5) * gs) t, count(*) filter (r.t >= g0 + slot * gs and r.t < least(g0 + (slot + 1) * gs, g1)) readings,
+    sum(w) s0, sum(w * d) s1, sum(w * d * d) s2, sum(w * y) t0, sum(w * d * y) t1, sum(w * w) ww, bool_or(w > 0 and d <= 0) below, bool_or(w > 0 and d >= 0) above
+  from g left join lateral (
+    select x.t, x.y, (x.t - g0) / gs - (slot + 0.5) as d, case when x.ok and abs((x.t - g0) / gs - (slot + 0.5)) < 2.5 then pow(1 - pow(abs((x.t - g0) / gs - (slot + 0.5)) / 2.5, 3), 3) else 0 end as w
+    from r x where x.recording_id = g.recording_id and x.t between g0 + (slot - 2.5) * gs and g0 + (slot + 3.5) * gs) r on true
+  group by g.recording_id, slot
+), m as (select *, coalesce(s0 * s0 / nullif(ww, 0), 0) support, case when s0 * s2 - s1 * s1 > 0.01 * s0 * s0 then (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1) when s0 > 0 then t0 / s0 end fit from w),
+k as (select *, case when readings > 0 then 'observed' when support >= 1.5 and below and above then 'filled' else 'missing' end mark from m)
+select recording_id, slot, t, round(case when mark <> 'missing' then fit end, 4) as value, round(support, 4) as support, readings, mark from k
+"""
+
 
 def clock_readings(spark: SparkSession, sf: str, field: str) -> DataFrame:
     """(recording_id, sample_idx, value, unit, Time_LSL, extra columns of the table) of a clock field, each reading once, with the unit it is really given in."""
@@ -110,4 +133,4 @@ def p5_alternatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_values, p3_found, p3_faults, p5_found, p5_unified, p5_alternatives)}
-ORACLES: dict[str, str] = {"p1_found": P1_FOUND}
+ORACLES: dict[str, str] = {"p1_found": P1_FOUND, "p1_grid": P1_GRID}

@@ -55,3 +55,25 @@ def test_faulty_values_count_without_weight(spark):
     rows = [(1, i, 5.0 + 10 * i, 1.0 if i != 3 else 999.0, "") for i in range(7)]
     got = {r["slot"]: r for r in regular_grid(spark.createDataFrame(rows, R), spark.createDataFrame([(1, 0.0, 70.0, 10.0)], G), valid=(-16.0, 16.0)).collect()}
     assert got[3]["readings"] == 1 and got[3]["value"] == pytest.approx(1.0)
+
+
+def test_chunks_and_wide_kernels(spark):
+    rng = np.random.default_rng(4)
+    ts = np.sort(rng.uniform(-900, 2000, 150)).tolist() + [1e300, -1e300]
+    rows = [(1, i, t, float(np.cos(t / 200)), "x") for i, t in enumerate(ts)] + [(1, 3, ts[3], float(np.cos(ts[3] / 200)), "x")]
+    r, g = spark.createDataFrame(rows, R), spark.createDataFrame([(1, 0.0, 955.0, 10.0)], G)
+    for h in (2.5, 80.0):  # a bandwidth far beyond the grid's edges takes in all readings it reaches
+        whole, cut = ({x["slot"]: x for x in regular_grid(r, g, bandwidth=h, chunk=c).collect()} for c in (4096, 7))
+        assert whole.keys() == cut.keys() == set(range(96))
+        for k, x in whole.items():
+            assert (x["readings"], x["mark"]) == (cut[k]["readings"], cut[k]["mark"]) and x["support"] == pytest.approx(cut[k]["support"])
+            assert x["value"] == pytest.approx(cut[k]["value"]) or x["value"] is None and cut[k]["value"] is None
+    d = (np.array(ts[:150]) / 10) - 0.5
+    w = np.where(np.abs(d) < 80, (1 - np.minimum(1, np.abs(d) / 80) ** 3) ** 3, 0)
+    assert whole[0]["support"] == pytest.approx(w.sum() ** 2 / (w * w).sum())
+
+
+def test_readings_close_together_are_not_led_far(spark):
+    rows = [(1, 0, 14.0, 1.0, ""), (1, 1, 14.001, 2.0, "")]
+    got = {x["slot"]: x for x in regular_grid(spark.createDataFrame(rows, R), spark.createDataFrame([(1, 0.0, 30.0, 10.0)], G)).collect()}
+    assert got[1]["value"] == pytest.approx(1.5, abs=1e-3)
