@@ -56,10 +56,42 @@ def test_chunks_change_nothing_at_their_borders(spark):
     assert run(spark, rows_of(1, v), chunk=256) == run(spark, rows_of(1, v))
 
 
-def test_season(spark):
-    v = np.where(np.arange(400) % 10 == 0, 8.0, 0.0) + np.random.default_rng(6).normal(0, 0.05, 400)
-    v[205] += 5
-    assert run(spark, rows_of(1, v), season=10) == {(1, 205): "spike"}
+def test_gaps_and_stuck_runs_longer_than_the_halo_at_a_border(spark):
+    v = series(7, 900)
+    gap = [None if 150 <= i <= 256 else float(x) for i, x in enumerate(v)]
+    gap[257] += 7
+    held = v.copy()
+    held[500:620] = 0.7
+    held[[499, 620]] += (6, -6)
+    hole = [None if 260 <= i < 700 else float(x) for i, x in enumerate(v)]  # a chunk without any reading
+    hole[259] -= 5
+    rows = rows_of(1, gap) + rows_of(2, held) + rows_of(3, hole)
+    got = run(spark, rows, chunk=256)
+    assert got == run(spark, rows)
+    assert {k for k, kind in got.items() if kind == "spike"} == {(1, 257), (2, 499), (2, 620), (3, 259)}
+
+
+def test_seasonal_residuals(spark):
+    """A steep season hides a spike of its own amplitude from the levels, but not from its residuals."""
+    i = np.arange(400)
+    v = 8 * np.sin(2 * np.pi * 0.0272 * i) + np.random.default_rng(6).normal(0, 0.05, 400)
+    v[[105, 205, 302]] += (5, -4, 4)
+    assert run(spark, rows_of(1, v)) == {(1, 105): "spike", (1, 205): "spike", (1, 302): "spike"}
+    assert run(spark, rows_of(1, v), seasons=(0.01,)) != run(spark, rows_of(1, v))
+
+
+def test_pareto_fit_on_exceedances(spark):
+    from cadenza.operators.spikes import pareto_cutoff
+
+    rng = np.random.default_rng(11)
+    n, risk = 40_000, 1e-4
+    laws = {1: rng.exponential(1, n), 2: ((1 - rng.random(n)) ** -0.2 - 1) / 0.2, 3: ((1 - rng.random(n)) ** 0.2 - 1) / -0.2}
+    spiked = np.concatenate([laws[1], np.full(n // 50, 500.0)])
+    rows = [("x", k, float(x), n, 0.0) for k, xs in laws.items() for x in xs] + [("x", 4, float(x), n, 0.0) for x in spiked]
+    got = {r["recording_id"]: r["cut"] for r in pareto_cutoff(spark.createDataFrame(rows, "field string, recording_id long, leap double, n int, noise double"), ["field", "recording_id"], risk).collect()}
+    true = {1: -np.log(risk), 2: (risk**-0.2 - 1) / 0.2, 3: (1 - risk**0.2) / 0.2}
+    # the tail's bend shows in the right direction; spikes of 2 % raise the cutoff, but not to their own height
+    assert abs(got[1] / true[1] - 1) < 0.1 and true[3] < got[3] < got[1] < got[2] < true[2] and got[1] < got[4] < 100
 
 
 def test_spikes_in_vigorous_movement(spark):
