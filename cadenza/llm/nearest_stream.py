@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -122,49 +123,74 @@ def nearest_stream(stream: DataFrame, tolerance: dict[int, float], *, width: flo
     )
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def replay_nearest(
     spark: SparkSession,
     rows: DataFrame,
     tolerance: dict[int, float],
     *,
     width: float = 30.0,
-    phases: int = 6,
-    slices: int = 3,
+    expected: int | None = None,
+    core_rows: int = 200_000,
     key_rows: int = 20_000,
+    file_rows: int = 1_000_000,
+    progress: list | None = None,
 ) -> DataFrame:
     """Runs recorded rows (entity, is_left, no, t) through the streaming join in the order of the replay clock and returns the pairs.
 
-    entity holds the stream's code in its last two bits (entity mod 4), which picks the tolerance. The keyed rows are written once
-    to the shared folder, in `slices` of the clock; each slice is moved into the stream's source folder when its turn comes, so that the watermark
-    advances and state is emitted and evicted between slices. The number of hash groups follows the rows written, so that a
-    state key holds about `key_rows` however many there are. A last row moves the watermark past every horizon. Nulls or NaN in t, entity or
-    no: the row takes no part. Lefts delivered twice come once. No rows give no pairs."""
-    if phases % slices:
-        raise ValueError("slices must divide phases")
+    entity holds the stream's code in its last two bits (entity mod 4), which picks the tolerance. The clock is cut into slices, as many
+    as leave about `core_rows` rows a core in a slice (3 at least; `expected` tells the rows, else they are counted), so that the state, which holds
+    rows of one slice and the horizon of the one before, doesn't grow with the input. The keyed rows are written once to the shared folder by slice, in
+    files of about `file_rows`; each slice is moved into the stream's source folder when its turn comes, so that the watermark
+    advances and state is emitted and evicted between slices. State lies in RocksDB, on disk beyond its cache. A state
+    key holds about `key_rows`. A last row moves the watermark past every horizon. `progress` gets the state rows after each batch. The
+    folders of the run are removed, but for the pairs returned. Nulls or NaN in t, entity or no: the row takes no part. Lefts delivered twice come
+    once. No rows give no pairs."""
     reach = max(tolerance.values())
     good = rows.filter("entity is not null and no is not null and t is not null and not isnan(t)").select("entity", "is_left", "no", "t")
-    k = keyed(good, reach, width, phases).withColumn("slice", F.floor(F.col("phase") / F.lit(phases // slices)).cast("int"))
+    expected = good.count() if expected is None else expected
+    slices = max(3, -(-expected // (core_rows * spark.sparkContext.defaultParallelism)))
+    phases = 2 * slices
+    files = max(1, -(-expected // (slices * file_rows)))
+    groups = max(16, expected // (phases * key_rows))
+    k = keyed(good, reach, width, phases).withColumn("slice", F.floor(F.col("phase") / 2).cast("int"))
     end = spark.sql(f"select {slices} slice, 0L entity, 0L bucket, false is_left, 0L no, 0D t, 0L phase, timestamp_micros({int((phases * width * 3 + 60) * 1e6)}L) event")
     cols = ["entity", "bucket", "is_left", "no", "t", "phase", "event", "slice"]
     base = f"{shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
-    k.select(*cols).unionByName(end.select(*cols).withColumn("phase", F.col("phase").cast("long"))).repartition("slice", F.pmod(F.xxhash64("entity", "bucket"), F.lit(32))).write.partitionBy("slice").parquet(f"{base}/staged")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path(f"{base}/arrived"))
-    schema = "entity long, bucket long, is_left boolean, no long, t double, phase long, event timestamp"
-    groups = max(16, spark.read.parquet(f"{base}/staged").count() // (phases * key_rows))
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/arrived")
-    pairs = nearest_stream(stream, tolerance, width=width, phases=phases, groups=groups, delay=f"{int((phases // slices) * width + 2 * reach + 1)} seconds")
-    run = pairs.writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/progress").outputMode("append").start()
     try:
-        for s in range(slices + 1):
-            part = path(f"{base}/staged/slice={s}")
-            if fs.exists(part):
-                fs.rename(part, path(f"{base}/arrived/slice{s}"))
+        part = F.pmod(F.xxhash64("entity", "bucket"), F.lit(max(8, files)))
+        k.select(*cols).unionByName(end.select(*cols).withColumn("phase", F.col("phase").cast("long"))).repartition("slice", part).write.partitionBy("slice").parquet(f"{base}/staged")
+        fs.mkdirs(path(f"{base}/arrived"))
+        schema = "entity long, bucket long, is_left boolean, no long, t double, phase long, event timestamp"
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/arrived")
+        pairs = nearest_stream(stream, tolerance, width=width, phases=phases, groups=groups, delay=f"{int(2 * width + 2 * reach + 1)} seconds")
+        with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+            run = pairs.writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/progress").outputMode("append").start()
+            try:
+                for s in range(slices + 1):
+                    here = path(f"{base}/staged/slice={s}")
+                    if fs.exists(here):
+                        fs.rename(here, path(f"{base}/arrived/slice{s}"))
+                        run.processAllAvailable()
+                        if progress is not None and run.lastProgress:
+                            progress += [o["numRowsTotal"] for o in run.lastProgress["stateOperators"]]
                 run.processAllAvailable()
-        run.processAllAvailable()
+            finally:
+                run.stop()
     finally:
-        run.stop()
+        for x in ("staged", "arrived", "progress"):
+            fs.delete(path(f"{base}/{x}"), True)
     return spark.read.schema(PAIRS).parquet(f"{base}/pairs").dropDuplicates(["entity", "left_no"])
 
 

@@ -44,19 +44,20 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def completions(sizes: list[int], free: list[int], room: int, width: int, effort: int) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of `room` by free items (indexes, sizes downwards), least waste first, at most `width`.
+def completions(sizes: list[int], free: list[int], room: int, width: int | None, effort: int | None) -> tuple[list[tuple[int, list[int]]], bool]:
+    """Undominated fillings of `room` by free items (indexes, sizes downwards), least waste first, and whether these are all there are.
 
     A filling is dominated if another item still fits, or if one of its items could give way to a larger free one. The
-    search goes from large to small and looks at no more than `effort` nodes; the first leaf is the greedy filling."""
+    search goes from large to small; it ends after `effort` nodes, and at most `width` fillings come out; None sets no bound. The first leaf is
+    the greedy filling, which nothing dominates, so there always is one."""
     out: list[tuple[int, tuple[int, ...]]] = []
     seen: set[tuple[int, ...]] = set()
-    n, nodes = len(free), 0
-    tail = [0] * (n + 1)
-    for j in range(n - 1, -1, -1):
-        tail[j] = tail[j + 1] + sizes[free[j]]
+    n, nodes, whole = len(free), 0, True
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and nodes < effort:
+    while stack:
+        if effort is not None and nodes >= effort:
+            whole = False
+            break
         j, left, took = stack.pop()
         nodes += 1
         while j < n and sizes[free[j]] > left:
@@ -66,54 +67,53 @@ def completions(sizes: list[int], free: list[int], room: int, width: int, effort
             if key not in seen:
                 seen.add(key)
                 out.append((left, took))
-                if left == 0 and len(out) >= width:
+                if left == 0 and width is not None and len(out) >= width:
+                    whole = whole and not stack
                     break
             continue
         nxt = j + 1
         while nxt < n and sizes[free[nxt]] == sizes[free[j]]:
             nxt += 1  # leaving an item out leaves out its equals too
-        if tail[nxt] > 0 or nxt < n:
+        if nxt < n:
             stack.append((nxt, left, took))
         stack.append((j + 1, left - sizes[free[j]], (*took, j)))
     good = []
     for left, took in sorted(out, key=lambda x: x[0]):
         inside = set(took)
-        dominated = False
-        for k in range(n):
-            if k in inside:
-                continue
-            s = sizes[free[k]]
-            if s <= left or any(sizes[free[t]] < s <= sizes[free[t]] + left for t in took):
-                dominated = True
-                break
-        if not dominated or not good:
-            good.append((left, [free[t] for t in took]))
+        rest = [sizes[free[k]] for k in range(n) if k not in inside]
+        if any(s <= left or any(sizes[free[t]] < s <= sizes[free[t]] + left for t in took) for s in rest):
+            continue
         if len(good) == width:
-            break
-    return good
+            return good, False
+        good.append((left, [free[t] for t in took]))
+    return good, whole
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = 400, width: int = 4, effort: int = 300) -> list[list[int]]:
-    """Containers (lists of indexes into `sizes`, which must be sorted downwards) by branch and bound.
+def bin_completion(sizes: list[int], capacity: int, nodes: int | None = 400, width: int | None = 4, effort: int | None = 300) -> tuple[list[list[int]], bool]:
+    """Containers (lists of indexes into `sizes`, which must be sorted downwards) by branch and bound, and whether fewer are proved impossible.
 
     Each node fills the container of the largest item left with one of its undominated completions; branches whose waste
     rules out fewer containers than the incumbent are pruned. Best fit decreasing is the first incumbent. The search ends when the
-    lower bound is met or after `nodes` nodes with the best solution so far, which is always whole."""
+    lower bound is met, when all branches are pruned, or after `nodes` nodes with the best solution so far, which is always whole. With nodes, width and
+    effort None it is exact, and its time unbounded."""
     best = best_fit(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     if len(best) <= bound:
-        return best
+        return best, True
     slack = capacity * (len(best) - 1) - sum(sizes)  # waste that a solution with one container less may have
-    count = 0
+    count, exact = 0, True
     stack: list[tuple[list[int], list[list[int]], int]] = [(list(range(len(sizes))), [], 0)]
-    while stack and count < nodes:
+    while stack:
+        if nodes is not None and count >= nodes:
+            return best, False
         left, done, waste = stack.pop()
         count += 1
         while left:
             head, rest = left[0], left[1:]
             room = capacity - sizes[head]
             fits = [i for i in rest if sizes[i] <= room]
-            options = completions(sizes, fits, room, width, effort) if fits else [(room, [])]
+            options, all_ = completions(sizes, fits, room, width, effort) if fits else ([(room, [])], True)
+            exact &= all_
             options = [(w, o) for w, o in options if waste + w <= slack]
             if not options or len(done) + 1 >= len(best):
                 break
@@ -127,33 +127,35 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = 400, width: int
         if not left and len(done) < len(best):
             best = done
             if len(best) <= bound:
-                break
+                return best, True
             slack = capacity * (len(best) - 1) - sum(sizes)
-    return best
+    return best, exact
 
 
-def _pack_group(capacity: int, label: str):
+def _pack_group(capacity: int, label: str, nodes: int | None, width: int | None, effort: int | None):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["size", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
-        bins = bin_completion([int(x) for x in f["size"]], capacity)
+        bins, proved = bin_completion([int(x) for x in f["size"]], capacity, nodes, width, effort)
         at, fill = np.zeros(len(f), "int64"), np.zeros(len(f), "int64")
         sizes = f["size"].to_numpy()
         for k, items in enumerate(bins):
             at[items] = k
             fill[items] = sizes[items].sum()
         g = int(f["grp"].iloc[0])
-        return pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "start": f["start"], "size": f["size"], "container": [f"{label}-{g}-{k}" for k in at], "fill": fill})
+        return pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "start": f["start"], "size": f["size"], "container": [f"{label}-{g}-{k}" for k in at], "fill": fill, "proved": proved})
 
     return run
 
 
-def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below: float = 0.985, rounds: int = 2) -> DataFrame:
-    """Containers for documents: (container, doc_id, part, start, size, fill).
+def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below: float = 0.985, rounds: int = 2, nodes: int | None = 400, width: int | None = 4, effort: int | None = 300, task_rows: int = 400_000) -> DataFrame:
+    """Containers for documents: (container, doc_id, part, start, size, fill, proved).
 
     `items` has doc_id and n_tokens. A document over the capacity is split into full containers and a rest, which
     is packed like any other; all others stay whole (part 0, start 0). Items are hashed into groups of about `group_size`, so that no task sees
     more whatever the corpus; each group is packed by bin completion. Containers filled less than `redo_below` of the
     capacity are opened again and their items packed in new groups, so that the groups' last containers don't add up.
+    `nodes` (per group), `width` and `effort` (fillings tried and nodes looked at per container) bound the time of the search, not what is packed; with None for
+    all three it is exact within a group. `proved` tells whether the container's group is known to need no container less.
     Documents with null or 0 tokens take no place and don't come out. Repeated doc_ids are items of their own. No rows give no containers.
     Every table cut (checkpoint) has one narrow row per document."""
     if capacity <= 0:
@@ -166,9 +168,8 @@ def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below:
     size = F.when(F.col("part") < F.col("full"), F.lit(capacity)).otherwise(F.col("n_tokens") - F.col("full") * capacity)
     cut = cut.select("doc_id", "part", (F.col("part") * capacity).alias("start"), size.cast("long").alias("size"))
     cut = cut.checkpoint()  # the sizes are needed several times, the texts behind them read once
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    schema = "doc_id long, part long, start long, size long, container string, fill long"
-    whole = cut.filter(F.col("size") == capacity).withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "part", F.monotonically_increasing_id())).withColumn("fill", F.lit(capacity).cast("long"))
+    schema = "doc_id long, part long, start long, size long, container string, fill long, proved boolean"
+    whole = cut.filter(F.col("size") == capacity).withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "part", F.monotonically_increasing_id())).withColumn("fill", F.lit(capacity).cast("long")).withColumn("proved", F.lit(True))
     out = whole
     todo = cut.filter(F.col("size") < capacity)
     for r in range(rounds):
@@ -176,8 +177,9 @@ def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below:
         if n == 0:
             break
         groups = max(1, -(-n // group_size))
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n // task_rows))  # few bytes, much work: by rows
         last = r == rounds - 1 or groups == 1
-        packed = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), F.lit(groups)).cast("long")).repartition(tasks, "grp").groupBy("grp").applyInPandas(_pack_group(capacity, f"r{r}"), schema)
+        packed = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), F.lit(groups)).cast("long")).repartition(tasks, "grp").groupBy("grp").applyInPandas(_pack_group(capacity, f"r{r}", nodes, width, effort), schema)
         if last:
             out = out.unionByName(packed)
             break
@@ -185,14 +187,15 @@ def pack(items: DataFrame, capacity: int, *, group_size: int = 512, redo_below:
         keep = F.col("fill") >= redo_below * capacity
         out = out.unionByName(packed.filter(keep))
         todo = packed.filter(~keep).select("doc_id", "part", "start", "size")
-    return out.select("container", "doc_id", "part", "start", "size", "fill")
+    return out.select("container", "doc_id", "part", "start", "size", "fill", "proved")
 
 
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, fewest (containers that the total needs at least), unused (share of all room)."""
-    c = packed.groupBy("container").agg(F.sum("size").alias("fill"))
-    a = c.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens"))
-    return a.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("fewest"), F.round(1 - F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6).alias("unused"))
+    """One row: containers, tokens, fewest (containers that the total needs at least), unused (share of all room), proved (containers of groups
+    that are known to need no container less)."""
+    c = packed.groupBy("container").agg(F.sum("size").alias("fill"), F.max("proved").alias("proved"))
+    a = c.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("proved"), 1)).alias("proved"))
+    return a.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("fewest"), F.round(1 - F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6).alias("unused"), "proved")
 
 
 by_value(__name__)

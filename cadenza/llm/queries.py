@@ -35,7 +35,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.unionByName(side(mark, LSL, True, "marker_idx", "Time_LSL")).unionByName(side(mark.filter("Time_LSL is null or isnan(Time_LSL)"), EDF, True, "marker_idx", "t"))
     both = eye.select("recording_id", "sample_idx", F.explode(F.array(F.struct(F.lit(LSL).alias("c"), F.col("Time_LSL").alias("x")), F.struct(F.lit(EDF).alias("c"), F.col("t").alias("x")))).alias("p"))
     rows = rows.unionByName(both.select((F.col("recording_id") * 4 + F.col("p.c")).alias("entity"), F.lit(False).alias("is_left"), F.col("sample_idx").cast("long").alias("no"), F.col("p.x").alias("t")))
-    pairs = replay_nearest(spark, rows, TOLERANCE)
+    # counted in the files' footers; eye samples stand on both of their clocks
+    expected = sum(k * table(spark, sf, t).count() for t, k in (("mean_rgb", 1), ("realsense", 1), ("marker", 1), ("eyelink", 2)))
+    pairs = replay_nearest(spark, rows, TOLERANCE, expected=expected)
     code = F.pmod(F.col("entity"), F.lit(4))
     return pairs.select(F.when(code == BAG, "bag").otherwise("marker").alias("stream"), F.floor(F.col("entity") / 4).cast("long").alias("recording_id"), "left_no", "right_no")
 

@@ -8,9 +8,9 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.ship import by_value
+from ..session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how the byte-level vocabularies cut a text into words before merging.
@@ -33,13 +33,11 @@ def _counter(path: str, ranks_bytes, text: str):
 def with_token_counts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """The other columns and n_tokens, the size of the whole text in tokens of the tokenizer file at `tokenizer`.
 
-    Null and empty texts have 0 tokens. The vocabulary (under 1 MB, whatever the data's size) is broadcast; rows
-    are spread over all cores first, as scans of few files would leave most of them idle."""
-    spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    Null and empty texts have 0 tokens. The vocabulary (under 1 MB, whatever the data's size) is broadcast. Texts are counted where
+    the scan put them, unless it has fewer tasks than there are cores; `df` must not hold a shuffle itself."""
+    ranks = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text] + ["n_tokens long"])
-    return df.repartition(n, F.xxhash64(*df.columns)).mapInPandas(_counter(tokenizer, ranks, text), schema)
+    return spread(df).mapInPandas(_counter(tokenizer, ranks, text), schema)
 
 
 by_value(__name__)

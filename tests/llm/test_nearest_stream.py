@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from cadenza.llm.nearest_stream import replay_nearest
 
@@ -37,7 +36,7 @@ def test_against_brute_force(spark):
     rows = [(None if e is None else int(e), bool(l), int(n), None if t is None else float(t), x) for e, l, n, t, x in rows]
     want = brute(rows)
     assert len(want) > 30
-    assert run(spark, rows, width=10.0, phases=6, slices=3) == want
+    assert run(spark, rows, width=10.0) == want
 
 
 def test_ties_borders_and_sharing(spark):
@@ -49,13 +48,32 @@ def test_ties_borders_and_sharing(spark):
         (5, True, 4, 10.0, ""),  # no right side
         (4, True, 5, 10.02, ""),  # out of tolerance
     ]
-    assert run(spark, rows, width=10.0, phases=6, slices=3) == {(4, 0): 3, (4, 1): 8, (4, 2): 10, (4, 3): 10}
+    assert run(spark, rows, width=10.0) == {(4, 0): 3, (4, 1): 8, (4, 2): 10, (4, 3): 10}
 
 
 def test_empty(spark):
     assert run(spark, []) == {}
-    with pytest.raises(ValueError):
-        run(spark, [], phases=5, slices=3)
+
+
+def test_state_stays_flat_and_folders_go(spark):
+    """Ten times the rows: as many slices more, and no more state after a batch."""
+    from cadenza.session import shared_dir
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = {str(f.getPath().getName()) for f in fs.listStatus(path)} if fs.exists(path) else set()
+    peak = []
+    for seconds in (120, 1200):
+        rows = [(4, False, i, i / 2, "") for i in range(seconds * 2)] + [(4, True, i, i + 0.001, "") for i in range(seconds)]
+        seen = []
+        got = run(spark, rows, width=5.0, core_rows=30, key_rows=20, progress=seen)
+        assert got == {(4, i): 2 * i for i in range(seconds)}
+        peak.append(max(seen))
+    assert 0 < peak[1] <= 2 * peak[0]
+    for name in {str(f.getPath().getName()) for f in fs.listStatus(path)} - before:
+        if name.startswith("nearest-"):
+            left = {str(f.getPath().getName()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}"))}
+            assert left == {"pairs"}
 
 
 def test_state_is_emitted_and_evicted_as_the_watermark_passes(spark, tmp_path):
