@@ -18,6 +18,10 @@ CONVERSIONS = [
     ("ns", "us", 1e-3, 0.0),
     ("us", "ms", 1e-3, 0.0),
     ("ms", "s", 1e-3, 0.0),
+    # said twice, so that the check for contradictions has something to check
+    ("in", "mm", 25.4, 0.0),
+    ("m", "mm", 1000.0, 0.0),
+    ("s", "ns", 1e9, 0.0),
 ]
 
 # Spellings of units in headers and notes.
@@ -89,19 +93,21 @@ def declared_unit(field: str, description: Column, note: Column) -> Column:
     return F.get(F.filter(F.transform(F.array(said), lambda x: F.get(F.filter(table, lambda t: F.rlike(x, t["p"])), F.lit(0))["u"]), lambda u: u.isNotNull()), F.lit(0))
 
 
-def length_unit(value: Column, low_m: float = 0.4, high_m: float = 0.8, slack: float = 0.1) -> Column:
-    """Unit in which a distance known to lie between low_m and high_m metres is given; null for zero, negative, NaN or anything no unit explains.
+def scales(target: str) -> dict[str, tuple[float, float]]:
+    """(scale, offset) to `target` of every unit that the composed conversions lead to it."""
+    return {u: (k, c) for u, t, k, c, _ in compose(CONVERSIONS) if t == target}
 
-    With these bounds the ranges of the units don't overlap, slack (a share of the bound) included."""
-    per_metre = {u: 1 / k for u, t, k, _, _ in compose(CONVERSIONS) if t == "m"}
-    out = F.lit(None).cast("string")
-    for u, n in per_metre.items():
-        lo, hi = low_m * n, high_m * n
-        out = F.when((value >= lo * (1 - slack)) & (value <= hi * (1 + slack)), u).otherwise(out)
-    return F.when(F.isnan(value), None).otherwise(out)
 
+def nearest_unit(value: Column, typical: float, target: str) -> Column:
+    """The unit in which a value, converted to `target` by the composed conversions, comes nearest to `typical` (by ratio); null for null, NaN,
+    zero or negative values. Whether the converted value is plausible is for the caller to judge (`plausible`)."""
+    gap = [F.struct(F.abs(F.log((value * k + c) / typical)).alias("gap"), F.lit(u).alias("unit")) for u, (k, c) in sorted(scales(target).items())]
+    return F.when((value > 0) & ~F.isnan(value), F.array_min(F.array(*gap))["unit"])
 
-_TIME_UNITS = ["s", "ms", "us", "ns"]
+
+def plausible(common: Column, low: float, high: float, slack: float = 0.1) -> Column:
+    """Whether a converted value lies between low and high, widened by `slack` (a share of the bound); null and NaN don't."""
+    return F.coalesce((common >= low * (1 - slack)) & (common <= high * (1 + slack)) & ~F.isnan(common), F.lit(False))
 
 
 def clock_units(
@@ -116,9 +122,10 @@ def clock_units(
     min_votes: int = 3,
     chunk: int = 8192,
 ) -> DataFrame:
-    """Adds `out`: the unit (s, ms, us, ns) in which each `value` of a clock is given, judged by its speed against `clock` (s).
+    """Adds `out`: the unit in which each `value` of a clock is given, judged by its speed against `clock` (s).
 
-    Consecutive readings vote by the ratio of both advances. A stretch ends where the value falls (restart) or leaps by more
+    The candidates are the units that the composed conversions lead to seconds. Consecutive readings vote by the advance of the value against the clock's, for the unit under
+    which it comes nearest to 1 in seconds. A stretch ends where the value falls (restart) or leaps by more
     than a factor `jump` (another unit); its unit is the most frequent vote, so that late receipts and lost rows don't matter.
     Stretches with fewer than `min_votes` votes take the unit under which they continue the stretch before or after.
     Works on (source, chunk) with a halo, not on whole sources. Rows delivered twice come out once. Null or NaN
@@ -135,26 +142,29 @@ def clock_units(
     far = (V < P) | (V > P * jump) | (P <= 0)
     d = d.withColumn("__seg", F.sum(F.when(V.isNotNull() & (P.isNull() | far), 1).otherwise(0)).over(w))
     ratio = F.when(~far & (V > P) & (F.col("__t") > F.col("__pt")), (V - P) / (F.col("__t") - F.col("__pt")))
-    d = d.withColumn("__k", F.when(ratio > 0, F.greatest(F.lit(0), F.least(F.lit(3), F.round(F.log10(ratio) / 3)))).cast("int"))
+    units = sorted(scales("s").items(), key=lambda x: -x[1][0])
+    speed = [F.struct(F.abs(F.log(ratio * k)).alias("gap"), F.lit(j).alias("k")) for j, (_, (k, _)) in enumerate(units)]
+    d = d.withColumn("__k", F.when(ratio > 0, F.array_min(F.array(*speed))["k"]))
     s = Window.partitionBy(source, "__c", "__seg")
-    votes = [F.sum(F.when(F.col("__k") == k, 1).otherwise(0)).over(s) for k in range(4)]
+    votes = [F.sum(F.when(F.col("__k") == k, 1).otherwise(0)).over(s) for k in range(len(units))]
     d = d.withColumn("__n", F.array(*votes)).withColumn("__most", F.array_max("__n"))
     d = d.withColumn("__sure", F.when(F.col("__most") >= min_votes, F.array_position("__n", F.col("__most")).cast("int") - 1))
     known = F.when(V.isNotNull() & F.col("__sure").isNotNull(), F.struct(F.col("__sure").alias("k"), V.alias("v"), F.col("__t").alias("t")))
     d = d.withColumn("__known", known)
     back = Window.partitionBy(source, "__c").orderBy(F.col(idx).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__p", F.last("__known", True).over(before)).withColumn("__q", F.last("__known", True).over(back))
-    sec = lambda val, k: val * F.pow(F.lit(1000.0), -k)
+    to_s = F.array(*[F.struct(F.lit(k).alias("scale"), F.lit(c).alias("offset")) for _, (k, c) in units])
+    sec = lambda val, k: val * F.get(to_s, k)["scale"] + F.get(to_s, k)["offset"]
 
     def miss(n: Column, k: Column) -> Column:
         """By how many seconds a value read in unit k misses the line through a known neighbour n, and how far k is from its unit."""
         g = F.abs((sec(V, k) - sec(n["v"], n["k"])) - F.coalesce(F.col("__t") - n["t"], F.lit(0.0)))
         return F.struct(F.coalesce(g, F.lit(float("inf"))).alias("g"), F.abs(k - F.coalesce(n["k"], F.lit(9))).alias("change"), k.alias("k"))
 
-    ks = F.array(*[F.lit(k) for k in range(4)])
+    ks = F.array(*[F.lit(k) for k in range(len(units))])
     best = F.array_min(F.transform(F.array("__p", "__q"), lambda n: F.array_min(F.transform(ks, lambda k: miss(n, k)))))
     voted = F.when(F.col("__most") > 0, F.array_position("__n", F.col("__most")).cast("int") - 1)
     k = F.coalesce(F.col("__sure"), F.when(best["g"] < 60, best["k"]), voted)
-    name = F.element_at(F.array(*[F.lit(u) for u in _TIME_UNITS]), k + 1)
+    name = F.get(F.array(*[F.lit(u) for u, _ in units]), k)
     d = d.withColumn(out, F.when(V.isNotNull() & k.isNotNull(), name)).filter("not __halo")
     return d.drop(*[c for c in d.columns if c.startswith("__")])

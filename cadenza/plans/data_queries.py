@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.drift import alternatives, schema_changes, unified_records
 from ..operators.grid import regular_grid
 from ..operators.spikes import faulty_readings
-from ..operators.units import clock_units, conversion_table, declared_unit, length_unit, to_common
+from ..operators.units import clock_units, conversion_table, declared_unit, nearest_unit, plausible, to_common
 from ..sources.tables import table
 
 TIME_FIELDS = {"Time_EDF": "eyelink", "Time_FLIR": "flir", "Time_RealSense": "realsense"}
@@ -78,31 +78,30 @@ def clock_readings(spark: SparkSession, sf: str, field: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
-    """(recording_id, field, sample_idx, value, unit) of all four fields."""
-    out = [clock_readings(spark, sf, f).select("recording_id", F.lit(f).alias("field"), "sample_idx", "value", "unit") for f in TIME_FIELDS]
-    d = table(spark, sf, "eyelink").select("recording_id", F.lit("Target_Distance").alias("field"), "sample_idx", F.col("Target_Distance").alias("value"))
-    out.append(d.withColumn("unit", length_unit(F.col("value"))).select("recording_id", "field", "sample_idx", "value", "unit"))
-    u = out[0]
-    for x in out[1:]:
-        u = u.unionByName(x)
-    return u
+    """(recording_id, field, sample_idx, value, unit, common, target) of all four fields: the unit found and the value in the field's common unit. A distance
+    is proposed in the unit that brings it nearest to 600 mm; the proposal stands if, converted, it lies where the target can be."""
+    cols = ["recording_id", "field", "sample_idx", "value", "unit", "target"]
+    u = table(spark, sf, "eyelink").select("recording_id", F.lit("Target_Distance").alias("field"), "sample_idx", F.col("Target_Distance").alias("value"))
+    u = u.withColumn("unit", nearest_unit(F.col("value"), 600.0, "mm")).withColumn("target", F.lit("mm")).select(*cols)
+    for f in TIME_FIELDS:
+        u = u.unionByName(clock_readings(spark, sf, f).withColumn("field", F.lit(f)).withColumn("target", F.lit("s")).select(*cols))
+    u = to_common(u, "value", "unit", F.col("target"), "common", conversion_table(spark))
+    fits = (F.col("field") != "Target_Distance") | plausible(F.col("common"), 400.0, 800.0)
+    return u.withColumn("unit", F.when(fits, F.col("unit"))).withColumn("common", F.when(fits, F.col("common")))
 
 
 def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     """All distances in mm and all times in s, with the unit found in the data and the one that the header or a note declares."""
     u = _units(spark, sf).filter("value is not null and not isnan(value)").filter("field <> 'Target_Distance' or value > 0").dropDuplicates(["recording_id", "field", "sample_idx"])
-    target = F.when(F.col("field") == "Target_Distance", "mm").otherwise("s")
-    u = to_common(u, "value", "unit", target, "common", conversion_table(spark))
     d = table(spark, sf, "device_data").withColumn("m", F.from_json("column_descriptions", "map<string,string>"))
     said = [F.struct(F.lit(f).alias("field"), declared_unit(f, F.col("m")[f], F.col("info_text")).alias("declared")) for f in [*TIME_FIELDS, "Target_Distance"]]
     d = d.filter(F.col("device").isin("EyeLink", "FLIR", "RealSense")).select("recording_id", F.explode(F.array(*said)).alias("x")).select("recording_id", "x.field", "x.declared").filter("declared is not null")
-    return u.join(d, ["recording_id", "field"], "left").withColumn("target", target).select("recording_id", "field", "sample_idx", "value", "unit", "declared", "common", "target")
+    return u.join(d, ["recording_id", "field"], "left").select("recording_id", "field", "sample_idx", "value", "unit", "declared", "common", "target")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    u = _units(spark, sf).filter("unit is not null").groupBy("recording_id", "field", "unit").agg(F.count(F.lit(1)).alias("n"))
-    # the canonical target of each unit exists, so each found unit can be converted; the join with it is the operator's own
-    u = to_common(u.withColumn("one", F.lit(1.0)), "one", "unit", F.when(F.col("field") == "Target_Distance", "mm").otherwise("s"), "scale_to", conversion_table(spark)).filter("scale_to is not null")
+    """The units whose conversion to the field's common unit makes sense of some of a recording's values, but for the usual one."""
+    u = _units(spark, sf).filter("common is not null").select("recording_id", "field", "unit").distinct()
     usual = table(spark, sf, "sensor_fields").filter(F.col("device").isin("EyeLink", "FLIR", "RealSense")).select(F.col("column_name").alias("field"), "usual_unit")
     return u.join(F.broadcast(usual), "field").filter("unit <> usual_unit").select("recording_id", "field", "unit")
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators.units import clock_units, compose, conversion_table, declared_unit, length_unit, to_common
+from cadenza.operators.units import clock_units, compose, conversion_table, declared_unit, nearest_unit, plausible, scales, to_common
 
 
 def test_compose_shortest_and_cycles():
@@ -23,8 +23,10 @@ def test_to_common_keeps_rows(spark):
 
 def test_lengths(spark):
     vals = [6000.0, 600.0, 60.0, 0.6, 24.0, 0.0, -32768.0, None, float("nan"), 1e6]
-    got = [r["u"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double").select("i", length_unit(F.col("v")).alias("u")).orderBy("i").collect()]
-    assert got == ["0.1mm", "mm", "cm", "m", "in", None, None, None, None, None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double").withColumn("u", nearest_unit(F.col("v"), 600.0, "mm"))
+    d = to_common(d, "v", "u", "mm", "c", conversion_table(spark)).withColumn("u", F.when(plausible(F.col("c"), 400.0, 800.0), F.col("u")))
+    assert [r["u"] for r in d.orderBy("i").collect()] == ["0.1mm", "mm", "cm", "m", "in", None, None, None, None, None]
+    assert scales("s")["ns"] == (pytest.approx(1e-9), 0.0) and set(scales("s")) == {"s", "ms", "us", "ns"}
 
 
 def test_declared(spark):
