@@ -1,21 +1,47 @@
 """Masks over ordered samples: edges, islands, spans, and painting runs back onto samples.
 
 All operators take `keys` (the recording), `order` (a column that orders samples within it) and a mask
-column; null mask values count as false. A recording is one window partition, sorted with spilling and read as a stream."""
+column; null mask values count as false. Positions come from counts per bucket of the order plus the place inside the bucket, and what looks at
+neighbours runs over chunks of positions with a halo, so that a recording with a third of all rows is many tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .chunks import with_chunks
+
+CHUNK = 65536
 
 
 def ordered(keys: list[str], order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def with_position(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds i (0-based position) and n (length of the recording)."""
-    return df.withColumn("i", (F.row_number().over(ordered(keys, order)) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+def _on(keys: list[str]) -> list[Column]:
+    return [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+
+
+def with_position(df: DataFrame, keys: list[str], order: str, width: int = CHUNK) -> DataFrame:
+    """Adds i (0-based position) and n (length of the recording).
+
+    For a whole-numbered order, rows are numbered within buckets of `width` of its values, and buckets start where the counts of those before end: no
+    task holds more of a recording than a bucket, if numbers aren't repeated. Any other order needs one window per recording."""
+    if not isinstance(df.schema[order].dataType, T.IntegralType):
+        return df.withColumn("i", (F.row_number().over(ordered(keys, order)) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    d = df.withColumn("__b", F.floor(F.col(order) / width))
+    c = d.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__k"))
+    up = Window.partitionBy(*keys).orderBy(F.col("__b").asc_nulls_first())
+    c = c.withColumn("__from", F.sum("__k").over(up) - F.col("__k")).withColumn("n", F.sum("__k").over(Window.partitionBy(*keys))).drop("__k")
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(order)))
+    j = d.alias("a").join(c.alias("b"), _on([*keys, "__b"]), "left")
+    return j.select(*[F.col(f"a.{x}") for x in df.columns], (F.col("b.__from") + F.col("a.__r") - 1).alias("i"), F.col("b.n").alias("n"))
+
+
+def in_chunks(df: DataFrame, keys: list[str], halo: int, size: int = CHUNK) -> tuple[DataFrame, WindowSpec]:
+    """Rows that have a position i, in chunks with `halo` neighbours on both sides, and the window over a chunk. The caller drops rows with __halo."""
+    return with_chunks(df, "i", size, halo, "__c"), Window.partitionBy(*keys, "__c").orderBy("i")
 
 
 def edge(mask: Column, i: Column, n: Column, w: WindowSpec, endpoints: bool, integer: bool = False) -> Column:
@@ -27,18 +53,26 @@ def edge(mask: Column, i: Column, n: Column, w: WindowSpec, endpoints: bool, int
     return F.coalesce(change, (mask != 0) if integer else F.lit(False))
 
 
-def mark_edges(df: DataFrame, keys: list[str], order: str, mask: str, endpoints: bool, integer: bool = False) -> DataFrame:
+def mark_edges(df: DataFrame, keys: list[str], order: str, mask: str, endpoints: bool, integer: bool = False, size: int = CHUNK) -> DataFrame:
     """Adds i, n and is_edge. Empty input stays empty."""
     m = F.coalesce(F.col(mask), F.lit(0) if integer else F.lit(False))
-    d = with_position(df, keys, order)
-    return d.withColumn("is_edge", edge(m, F.col("i"), F.col("n"), ordered(keys, "i"), endpoints, integer))
+    d, w = in_chunks(with_position(df, keys, order, size), keys, 1, size)
+    return d.withColumn("is_edge", edge(m, F.col("i"), F.col("n"), w, endpoints, integer)).filter("not __halo").drop("__halo", "__c")
+
 
+def mark_runs(df: DataFrame, keys: list[str], order: str, mask: str, size: int = CHUNK) -> DataFrame:
+    """Adds i, n and run: number of the run of equal mask values, from 1. The last sample of a recording belongs to the run before it.
 
-def mark_runs(df: DataFrame, keys: list[str], order: str, mask: str) -> DataFrame:
-    """Adds i, n and run (1-based): runs start at edges with endpoints; the last sample stays in the last run, whose value is that of its first sample."""
-    d = mark_edges(df, keys, order, mask, True)
-    opens = F.col("is_edge") & ((F.col("i") < F.col("n") - 1) | (F.col("n") == 1))
-    return d.withColumn("run", F.sum(opens.cast("int")).over(ordered(keys, "i").rowsBetween(Window.unboundedPreceding, 0))).drop("is_edge")
+    Runs are counted within chunks and start where the chunks before end."""
+    m = F.coalesce(F.col(mask), F.lit(False))
+    d, w = in_chunks(with_position(df, keys, order, size), keys, 1, size)
+    d = d.withColumn("__edge", edge(m, F.col("i"), F.col("n"), w, True)).filter("not __halo").drop("__halo")
+    opens = (F.col("__edge") & ((F.col("i") < F.col("n") - 1) | (F.col("n") == 1))).cast("int")
+    d = d.withColumn("__open", opens).withColumn("__no", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = d.groupBy(*keys, "__c").agg(F.sum("__open").alias("__k"))
+    c = c.withColumn("__from", F.sum("__k").over(Window.partitionBy(*keys).orderBy("__c")) - F.col("__k"))
+    j = d.alias("a").join(c.alias("b"), _on([*keys, "__c"]))
+    return j.select(*[F.col(f"a.{x}") for x in df.columns], "a.i", "a.n", (F.col("b.__from") + F.col("a.__no")).alias("run"))
 
 
 def runs(marked: DataFrame, keys: list[str], mask: str, time: str) -> DataFrame:
@@ -62,12 +96,11 @@ def last_long_island(df: DataFrame, keys: list[str], order: str, mask: str, time
     return long.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("island")))).filter("k = 1").drop("k")
 
 
-def paint(marked: DataFrame, keys: list[str], qualified: DataFrame, out: str) -> DataFrame:
+def paint(marked: DataFrame, keys: list[str], qualified: DataFrame, out: str, size: int = CHUNK) -> DataFrame:
     """Boolean `out` on samples of mark_runs(): true within a qualified run and on the first sample after it.
 
     `qualified` holds (keys, run). Runs are few against samples; the join is on recording and run."""
     q = qualified.select(*keys, "run", F.lit(True).alias("__q"))
-    d = marked.join(q, [*keys, "run"], "left")
-    w = ordered(keys, "i")
+    d, w = in_chunks(marked.join(q, [*keys, "run"], "left"), keys, 1, size)
     before = F.coalesce(F.lag("__q").over(w), F.lit(False)) & (F.col("run") != F.lag("run").over(w))
-    return d.withColumn(out, F.coalesce("__q", F.lit(False)) | F.coalesce(before, F.lit(False))).drop("__q")
+    return d.withColumn(out, F.coalesce("__q", F.lit(False)) | F.coalesce(before, F.lit(False))).filter("not __halo").drop("__q", "__halo", "__c")

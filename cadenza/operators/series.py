@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .masks import ordered, with_position
+from .masks import CHUNK, in_chunks, ordered, with_position
 
 
 def seconds(ts: str | Column) -> Column:
@@ -22,14 +22,24 @@ def gradient(x: Column, t: Column, w: WindowSpec) -> Column:
     return F.when(tp.isNull(), F.try_divide(xn - x, hd)).when(tn.isNull(), F.try_divide(x - xp, hs)).otherwise(inner)
 
 
-def smooth(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str) -> DataFrame:
+def with_gradient(df: DataFrame, keys: list[str], order: str, time: str, values: dict[str, str], size: int = CHUNK) -> DataFrame:
+    """Adds for each name -> column of `values` the derivative of the column on `time`, over chunks of positions; a null in a neighbour makes it null."""
+    d, w = in_chunks(with_position(df, keys, order, size), keys, 1, size)
+    d = d.withColumns({out: gradient(F.col(x), F.col(time), w) for out, x in values.items()})
+    return d.filter("not __halo").select(*df.columns, *values)
+
+
+def smooth(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str, size: int = CHUNK) -> DataFrame:
     """Adds i, n and the centred moving mean over `width` samples; near the ends windows are one sample shorter than a clipped one."""
-    d = with_position(df, keys, order)
-    w, h = ordered(keys, "i"), width // 2
+    h = width // 2
+    if size < width:
+        raise ValueError("a chunk must hold a window")
+    d, w = in_chunks(with_position(df, keys, order, size), keys, h, size)
     mid = F.avg(value).over(w.rowsBetween(-h, (width - 1) // 2))
     head = F.avg(value).over(w.rowsBetween(-h, h - 1))
     tail = F.avg(value).over(w.rowsBetween(-(h - 1), h))
-    return d.withColumn(out, F.when(F.col("i") < h, head).when(F.col("n") - 1 - F.col("i") < h, tail).otherwise(mid))
+    d = d.withColumn(out, F.when(F.col("i") < h, head).when(F.col("n") - 1 - F.col("i") < h, tail).otherwise(mid))
+    return d.filter("not __halo").drop("__halo", "__c")
 
 
 def rates(df: DataFrame, keys: list[str], order: str, time: str) -> DataFrame:

@@ -224,8 +224,8 @@ d as (select *, t - tp hs, tn - t hd from l)
 select event_id, round(1e3 * case when tp is null then (xn - value) / nullif(hd, 0) when tn is null then (value - xp) / nullif(hs, 0)
   else (hs * hs * xn + (hd * hd - hs * hs) * value - hd * hd * xp) / nullif(hs * hd * (hs + hd), 0) end, 4) as slope from d""")
 def gradient(spark, sf):
-    w = masks.ordered(K, O)
-    return ev_series(spark, sf).select("event_id", F.round(series.gradient(F.col("value"), F.col("t"), w) * 1e3, 4).alias("slope"))
+    d = series.with_gradient(ev_series(spark, sf), K, O, "t", {"slope": "value"})
+    return d.select("event_id", F.round(F.col("slope") * 1e3, 4).alias("slope"))
 
 
 @query(f"""with {E} select event_id, round(case when i < 2 then avg(value) over (w rows between 2 preceding and 1 following) when n - 1 - i < 2 then avg(value) over (w rows between 1 preceding and 2 following)
@@ -353,8 +353,7 @@ def blink_mask(spark, sf):
 def gaze_events(spark, sf):
     """The whole detector on the right eye's gaze of the recordings."""
     e = nan_to_null(table(spark, sf, "eyelink").select("recording_id", "sample_idx", "Time_LSL", F.col("R_GazeX").alias("x"), F.col("R_GazeY").alias("y"))).dropDuplicates(["recording_id", "sample_idx"]).filter("Time_LSL is not null")
-    w = masks.ordered(["recording_id"], "sample_idx")
-    e = e.withColumn("vx", series.gradient(F.col("x"), F.col("Time_LSL"), w)).withColumn("vy", series.gradient(F.col("y"), F.col("Time_LSL"), w))
+    e = series.with_gradient(e, ["recording_id"], "sample_idx", "Time_LSL", {"vx": "x", "vy": "y"})
     return gaze.detect_gaze_events(e, ["recording_id"], "sample_idx", "Time_LSL", "x", "y", "vx", "vy").select("recording_id", "sample_idx", "saccade", "fixation", "blink")
 
 
@@ -408,8 +407,8 @@ l as (select *, lag(x) over w xp, lead(x) over w xn, lag(t) over w tp, lead(t) o
 select vec_id, round((case when tp is null then (xn - x) / hd when tn is null then (x - xp) / hs else (hs * hs * xn + (hd * hd - hs * hs) * x - hd * hd * xp) / (hs * hd * (hs + hd)) end) / (radians(225e6 + x * x + y * y) / sqrt(225e6 + y * y)), 4) as vx from d""")
 def eye_velocity(spark, sf):
     h = _href(spark, sf).withColumn("t", F.col("vec_id") / 1000.0)
-    g = series.gradient(F.col("x"), F.col("t"), masks.ordered(["label"], "vec_id"))
-    return h.select("vec_id", F.round(g / geometry.resolution(F.col("x"), F.col("y"))[0], 4).alias("vx"))
+    h = series.with_gradient(h, ["label"], "vec_id", "t", {"g": "x"})
+    return h.select("vec_id", F.round(F.col("g") / geometry.resolution(F.col("x"), F.col("y"))[0], 4).alias("vx"))
 
 
 @query(f"with {H} select vec_id, round(degrees(acos((225e6 + x * x2 + y * y2) / sqrt((225e6 + x * x + y * y) * (225e6 + x2 * x2 + y2 * y2)))), 4) as angle from h")
@@ -609,5 +608,5 @@ select recording_id, sample_idx, round(case when tp is null then (xn - R_GazeX)
 def gaze_velocity(spark, sf):
     e = table(spark, sf, "eyelink").select("recording_id", "sample_idx", "Time_LSL", "R_GazeX", "ResolutionX")
     e = nan_to_null(e).filter("Time_LSL is not null").dropDuplicates(["recording_id", "sample_idx"])
-    g = series.gradient(F.col("R_GazeX"), F.col("Time_LSL"), masks.ordered(["recording_id"], "sample_idx"))
-    return e.select("recording_id", "sample_idx", F.round(F.try_divide(g, F.col("ResolutionX")), 1).alias("velocity"))
+    e = series.with_gradient(e, ["recording_id"], "sample_idx", "Time_LSL", {"g": "R_GazeX"})
+    return e.select("recording_id", "sample_idx", F.round(F.try_divide(F.col("g"), F.col("ResolutionX")), 1).alias("velocity"))
