@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: distance of the HREF plane, in HREF units.
@@ -34,8 +34,7 @@ def dva_to_screen(a: Column, distance_mm: Column, width: int, height: int, px_pe
 
 def max_abs(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Adds nx, ny: both columns over the largest absolute value of either, at least 1. A null in either makes the recording's result null, as the maximum doesn't skip it."""
-    w = Window.partitionBy(*keys)
-    top = F.greatest(F.max(F.abs(x)).over(w), F.max(F.abs(y)).over(w), F.lit(1.0))
-    gap = F.max(F.col(x).isNull() | F.col(y).isNull()).over(w)
-    d = df.withColumn("__top", F.when(~gap, top))
-    return d.withColumn("nx", F.col(x) / F.col("__top")).withColumn("ny", F.col(y) / F.col("__top")).drop("__top")
+    top = df.groupBy(*keys).agg(F.greatest(F.max(F.abs(x)), F.max(F.abs(y)), F.lit(1.0)).alias("__top"), F.max(F.col(x).isNull() | F.col(y).isNull()).alias("__gap"))
+    top = top.select(*keys, F.when(~F.col("__gap"), F.col("__top")).alias("__top"))
+    d = df.alias("a").join(top.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return d.select("a.*", (F.col(f"a.{x}") / F.col("b.__top")).alias("nx"), (F.col(f"a.{y}") / F.col("b.__top")).alias("ny"))

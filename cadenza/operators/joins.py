@@ -13,17 +13,32 @@ def _prefixed(df: DataFrame, on: list[str], prefix: str) -> DataFrame:
     return df.select(*on, *[F.col(c).alias(prefix + c) for c in df.columns if c not in on])
 
 
+def _neighbours(left: DataFrame, right: DataFrame, on: list[str], at: str) -> DataFrame:
+    """(on, at, before, after) for each distinct (on, at) of `left`: the last `at` of `right` not after it and the first not before it, by one sort of the distinct
+    values of both sides in each direction, without pairing them."""
+    there = F.col("__side") == 0
+    u = left.select(*on, at).distinct().withColumn("__side", F.lit(1)).unionByName(right.select(*on, at).distinct().withColumn("__side", F.lit(0)))
+    up = Window.partitionBy(*on).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*on).orderBy(F.desc(at), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("before", F.last(F.when(there, F.col(at)), True).over(up)).withColumn("after", F.last(F.when(there, F.col(at)), True).over(down))
+    return u.filter(~there).drop("__side")
+
+
 def nearest_date_join(left: DataFrame, right: DataFrame, on: list[str], left_date: str, right_date: str, offset: str, prefix: str = "r_") -> DataFrame:
     """Left join on `on`, keeping for each (keys, left date) the right rows nearest in time; adds the signed offset, right less left, in days.
 
     All ties stay. Right rows without a date take no part; a left row without any partner stays with nulls, one without a date
-    falls out. Right columns get `prefix`, so clashing names are no problem."""
-    r = _prefixed(right.filter(F.col(right_date).isNotNull()), on, prefix)
-    d = left.filter(F.col(left_date).isNotNull()).join(r, on, "left")
-    days = F.timestamp_diff("MICROSECOND", F.col(left_date).cast("timestamp_ntz"), F.col(prefix + right_date).cast("timestamp_ntz")) / F.lit(86400e6)
-    d = d.withColumn(offset, days)
-    w = Window.partitionBy(*on, left_date).orderBy(F.abs(offset).asc_nulls_last())
-    return d.withColumn("__k", F.rank().over(w)).filter("__k = 1").drop("__k")
+    falls out. Right columns get `prefix`, so clashing names are no problem. The nearest dates are found among the distinct dates; only their rows are joined."""
+    stamp = lambda c: F.col(c).cast("timestamp_ntz")
+    a = left.filter(F.col(left_date).isNotNull()).withColumn("__at", stamp(left_date))
+    b = _prefixed(right.filter(F.col(right_date).isNotNull()), on, prefix).withColumn("__near", stamp(prefix + right_date))
+    gap = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col("__at"), F.col(c)))
+    n = _neighbours(a, b.select(*on, F.col("__near").alias("__at")), on, "__at")
+    least = F.least(gap("before"), gap("after"))
+    n = n.select(*on, "__at", F.explode(F.array_distinct(F.filter(F.array(F.when(gap("before") == least, F.col("before")), F.when(gap("after") == least, F.col("after"))), lambda x: x.isNotNull()))).alias("__near"))
+    d = a.join(n, [*on, "__at"], "left").join(b, [*on, "__near"], "left")
+    d = d.withColumn(offset, F.timestamp_diff("MICROSECOND", F.col("__at"), F.col("__near")) / F.lit(86400e6))
+    return d.select(*left.columns, *[c for c in b.columns if c not in (*on, "__near")], offset)
 
 
 def visit_number(event: Column) -> Column:
@@ -33,19 +48,22 @@ def visit_number(event: Column) -> Column:
 
 def prior_visit_join(left: DataFrame, right: DataFrame, on: list[str], event: str, offset: str, prefix: str = "r_") -> DataFrame:
     """For each (keys, left visit) the right rows of the same or the nearest earlier visit; offset = left visit less right visit >= 0. Ties stay; left rows without such a partner don't come out."""
-    a = left.withColumn("__l", visit_number(F.col(event)))
-    b = _prefixed(right, on, prefix).withColumn("__r", visit_number(F.col(prefix + event)))
-    d = a.join(b, on).filter(F.col("__l") >= F.col("__r")).withColumn(offset, F.col("__l") - F.col("__r"))
-    w = Window.partitionBy(*on, "__l").orderBy(offset)
-    return d.withColumn("__k", F.rank().over(w)).filter("__k = 1").drop("__k", "__l", "__r")
+    a = left.withColumn("__at", visit_number(F.col(event))).filter("__at is not null")
+    b = _prefixed(right, on, prefix).withColumn("__near", visit_number(F.col(prefix + event))).filter("__near is not null")
+    n = _neighbours(a, b.select(*on, F.col("__near").alias("__at")), on, "__at").filter("before is not null").select(*on, "__at", F.col("before").alias("__near"))
+    d = a.join(n, [*on, "__at"]).join(b, [*on, "__near"]).withColumn(offset, F.col("__at") - F.col("__near"))
+    return d.select(*left.columns, *[c for c in b.columns if c not in (*on, "__near")], offset)
 
 
-def interval_flag(series: DataFrame, intervals: DataFrame, keys: list[str], time: str, start: str, end: str, out: str, width: float, half_open: bool = False) -> DataFrame:
-    """Boolean `out`: whether the sample's time (seconds) lies in any interval of its recording, ends included unless half_open.
+def interval_flag(series: DataFrame, intervals: DataFrame, keys: list[str], time: str, start: str, end: str, out: str, width: float, half_open: bool = False, last_by: str | None = None) -> DataFrame:
+    """Boolean `out`: whether the sample's time (seconds) lies in any interval of its recording, ends included unless half_open; with `last_by` only in
+    the recording's last interval by that column (nulls never are the last).
 
     Both sides are indexed by time buckets of `width` seconds: an interval is listed in each bucket it touches, a sample in its own, and the join is on
     (keys, bucket), so that neither a recording with a third of all rows nor many intervals meet in one task. Null times
     and inverted intervals match nothing. The series must not hold columns named like `start`, `end` or __b."""
+    if last_by is not None:
+        intervals = intervals.groupBy(*keys).agg(F.max_by(F.struct(F.col(start), F.col(end)), last_by).alias("__x")).select(*keys, "__x.*")
     iv = intervals.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e")).filter("__s <= __e")
     iv = iv.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / width).cast("long"), F.floor(F.col("__e") / width).cast("long"))))
     iv = iv.groupBy(*keys, "__b").agg(F.collect_set(F.struct("__s", "__e")).alias("__iv"))
@@ -66,37 +84,52 @@ def interval_number(series: DataFrame, intervals: DataFrame, keys: list[str], ti
     return d.withColumn(out, F.coalesce(hit, F.lit(0))).drop("__b", "__iv")
 
 
-def asof_marker(series: DataFrame, markers: DataFrame, keys: list[str], order: str, time: str, marker_time: str, marker: str, out: str, inclusive_end: bool = False) -> DataFrame:
+def asof_marker(series: DataFrame, markers: DataFrame, keys: list[str], order: str, time: str, marker_time: str, marker: str, out: str, inclusive_end: bool = False, width: float = 3600.0) -> DataFrame:
     """`out`: the last marker at or before each sample. The last marker holds up to the series' last time, exclusive unless
     inclusive_end, and not at all if the series ends with or before it. Samples before the first marker get null.
 
-    One union and one sort by recording instead of a range join. Of markers at the same time the largest in value counts last."""
+    One union, sorted within time buckets of `width` seconds, instead of a range join; what holds at a bucket's start comes from one row per bucket, so that a
+    recording is many tasks. Of markers at the same time the largest in value counts last. Null keys are a recording of their own; a null time gets null."""
     s = series.select(*keys, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__m"), F.col(order).alias("__o"), F.struct(*series.columns).alias("__row"))
     m = markers.select(*keys, F.col(marker_time).alias("__t"), F.lit(0).alias("__side"), F.col(marker).cast("string").alias("__m"), F.lit(None).cast(series.schema[order].dataType).alias("__o"), F.lit(None).cast(s.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", "__m", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    u = s.unionByName(m).withColumn("__last", F.last("__m", True).over(w))
+    u = s.unionByName(m).withColumn("__b", F.floor(F.col("__t") / width))
+    w = Window.partitionBy(*keys, "__b").orderBy("__t", "__side", "__m", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("__last", F.last("__m", True).over(w))
+    sample = F.col("__side") == 1
+    c = u.groupBy(*keys, "__b").agg(F.max_by("__m", F.when(F.col("__m").isNotNull(), F.struct("__t", "__m"))).alias("__m"), F.max(F.when(sample, F.col("__t"))).alias("__te"), F.max(F.when(~sample, F.col("__t"))).alias("__me"))
     every = Window.partitionBy(*keys)
-    u = u.withColumn("__te", F.max(F.when(F.col("__side") == 1, F.col("__t"))).over(every)).withColumn("__me", F.max(F.when(F.col("__side") == 0, F.col("__t"))).over(every))
-    beyond = F.col("__te") > F.col("__me")
-    hidden = (~beyond & (F.col("__t") >= F.col("__me"))) | (F.lit(not inclusive_end) & beyond & (F.col("__t") == F.col("__te")))
-    u = u.filter("__side = 1").withColumn("__v", F.when(~F.coalesce(hidden, F.lit(False)), F.col("__last")))
-    return u.select("__row.*", F.col("__v").alias(out))
+    up = every.orderBy(F.col("__b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.select(*keys, "__b", F.last("__m", True).over(up).alias("__held"), F.max("__te").over(every).alias("__te"), F.max("__me").over(every).alias("__me"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "__b")]
+    u = u.filter(sample).alias("a").join(c.alias("b"), on)
+    t, te, me = F.col("a.__t"), F.col("b.__te"), F.col("b.__me")
+    beyond = te > me
+    hidden = (~beyond & (t >= me)) | (F.lit(not inclusive_end) & beyond & (t == te))
+    return u.select("a.__row.*", F.when(t.isNotNull() & ~F.coalesce(hidden, F.lit(False)), F.coalesce("a.__last", "b.__held")).alias(out))
 
 
-def nearest_last_writer(left: DataFrame, right: DataFrame, keys: list[str], left_no: str, left_time: str, right_no: str, right_time: str) -> DataFrame:
+def nearest_last_writer(left: DataFrame, right: DataFrame, keys: list[str], left_no: str, left_time: str, right_no: str, right_time: str, width: float = 3600.0) -> DataFrame:
     """(keys, right_no, left_no): each right row writes itself to its nearest left row (the smaller number of two equally near); of several writers the
     last, by number, stays. All right rows come out, overwritten ones with null.
 
-    Nearest neighbours come from one sort of the union: the left row before and the one after. Times of left rows must rise with their number."""
+    Nearest neighbours come from one sort of the union within time buckets of `width` seconds: the left row before and the one after; the nearest left rows outside
+    a bucket come from one row per bucket. Times of left rows must rise with their number."""
     a = left.select(*keys, F.col(left_time).alias("t"), F.lit(0).alias("side"), F.col(left_no).alias("l"), F.lit(None).cast(right.schema[right_no].dataType).alias("r"))
     b = right.select(*keys, F.col(right_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(left.schema[left_no].dataType).alias("l"), F.col(right_no).alias("r"))
-    w = Window.partitionBy(*keys).orderBy("t", "side", "l", "r")
-    back = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("side"), F.desc("l"), F.desc("r"))
     one = F.when(F.col("side") == 0, F.struct("t", "l"))
-    u = a.unionByName(b).withColumn("p", F.last(one, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.last(one, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    u = a.unionByName(b).withColumn("b", F.floor(F.col("t") / width))
+    w = Window.partitionBy(*keys, "b").orderBy("t", "side", "l", "r").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "b").orderBy(F.desc("t"), F.desc("side"), F.desc("l"), F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("p", F.last(one, True).over(w)).withColumn("q", F.last(one, True).over(back))
+    c = u.groupBy(*keys, "b").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    up = Window.partitionBy(*keys).orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys).orderBy(F.col("b").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.select(*keys, "b", F.last("last", True).over(up).alias("ahead"), F.last("first", True).over(down).alias("behind"))
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "b")]
+    u = u.filter("side = 1").alias("x").join(c.alias("y"), on).select(*[F.col(f"x.{k}") for k in (*keys, "t", "r")], F.coalesce("x.p", "y.ahead").alias("p"), F.coalesce("x.q", "y.behind").alias("q"))
     gp, gq = F.abs(F.col("t") - F.col("p.t")), F.abs(F.col("q.t") - F.col("t"))
     pick = F.when(F.col("q").isNull() | (gp < gq) | ((gp == gq) & (F.col("p.l") <= F.col("q.l"))), F.col("p.l")).otherwise(F.col("q.l"))
-    u = u.filter("side = 1").withColumn("at", pick)
+    u = u.withColumn("at", pick)
     wins = F.row_number().over(Window.partitionBy(*keys, "at").orderBy(F.desc("r"))) == 1
     return u.withColumn("wins", wins).select(*keys, F.col("r").alias(right_no), F.when(F.col("wins"), F.col("at")).alias(left_no))
 

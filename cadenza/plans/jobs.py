@@ -117,10 +117,12 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
 
 
-def trial_gaze(trials: DataFrame, series: DataFrame, keys: list[str], time: str, start: str, end: str) -> DataFrame:
-    """Samples with the trial they fall into, both ends included; the join is on the recording with the range as residual condition."""
-    t = trials.select(*keys, "trial", F.col(start).alias("__a"), F.col(end).alias("__b"))
-    return series.join(t, keys).filter((F.col(time) >= F.col("__a")) & (F.col(time) <= F.col("__b"))).drop("__a", "__b")
+def trial_gaze(trials: DataFrame, series: DataFrame, keys: list[str], time: str, start: str, end: str, width: float = 60.0) -> DataFrame:
+    """Samples with the trial they fall into, both ends included. Trials are listed in each time bucket of `width` seconds that they touch, and the join is on (recording, bucket)."""
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    t = trials.select(*keys, "trial", F.col(start).alias("__a"), F.col(end).alias("__z")).filter("__a <= __z")
+    t = t.withColumn("__b", F.explode(F.sequence(cell("__a"), cell("__z"))))
+    return series.withColumn("__b", cell(time)).join(t, [*keys, "__b"]).filter((F.col(time) >= F.col("__a")) & (F.col(time) <= F.col("__z"))).drop("__a", "__z", "__b")
 
 
 def last_positions(positions: DataFrame, keys: list[str], target: str, order: str) -> DataFrame:
