@@ -69,6 +69,31 @@ def parse_file_names(df: DataFrame, name: str) -> DataFrame:
     return d.withColumn("ok", ok).drop("dev_text")
 
 
+# Tasks that the result files name.
+CSV_TASKS = {"DSC": "DSC_obs", "MOT": "MOT_obs_1"}
+
+
+def parse_csv_names(df: DataFrame, name: str) -> DataFrame:
+    """Adds subject, at, task_name, result (results or outcomes) and ok of a task's result files; other names keep their row with nulls and ok = false."""
+    n = F.col(name)
+    at = F.try_make_timestamp_ntz(*[part(n, CSV_FILE, k).cast("int") for k in range(2, 8)])
+    task = part(n, CSV_FILE, 8)
+    d = df.withColumn("subject", part(n, CSV_FILE, 1)).withColumn("at", at)
+    known = F.lit(None).cast("string")
+    for k, v in CSV_TASKS.items():
+        known = F.when(task == k, v).otherwise(known)
+    return d.withColumn("task_name", known).withColumn("result", part(n, CSV_FILE, 9)).withColumn("ok", F.col("at").isNotNull() & known.isNotNull())
+
+
+def make_session_id(subject: Column, date: Column) -> Column:
+    """Name of a session: subject_yyyy_mm_dd; null if either is."""
+    return F.concat(subject, F.lit("_"), F.date_format(date, "yyyy_MM_dd"))
+
+
+def session_subject(name: Column) -> Column:
+    return part(name, SESSION, 1)
+
+
 def extension_of(name: Column) -> Column:
     """Last extension in lower case with its dot, empty without one."""
     return F.lower(F.regexp_extract(name, r"[^./](\.[^./]*)$", 1))

@@ -125,3 +125,17 @@ def trim_beginning(df: DataFrame, keys: list[str], order: str, time: str, eps_hz
     """Samples from the position on at which the rate is stable; series that never are fall out."""
     at = stable_rate_index(df, keys, order, time, eps_hz, width_s)
     return with_position(df, keys, order).join(at, keys).filter("i >= stable").drop("i", "n", "stable")
+
+
+def mono(channels: Column) -> Column:
+    """Mean of a sample's channels (an array); null if any channel is null or there is none."""
+    total = F.aggregate(channels, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return F.when(F.size(channels) > 0, total / F.size(channels))
+
+
+def positional_zip(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str, prefix: str = "r_") -> DataFrame:
+    """The rows of both sides that have the same position in their recording, side by side: left columns, i, right columns with `prefix`. What one side has more falls out."""
+    a = with_position(left, keys, left_order).drop("n")
+    b = with_position(right, keys, right_order).drop("n")
+    b = b.select(*keys, "i", *[F.col(c).alias(prefix + c) for c in right.columns if c not in keys])
+    return a.join(b, [*keys, "i"]).select(*left.columns, "i", *[c for c in b.columns if c not in (*keys, "i")])

@@ -76,6 +76,15 @@ def colour_plan(files: DataFrame) -> DataFrame:
     return h.join(v, key, "left").withColumn("status", F.when(F.col("video").isNull(), "no video").otherwise("ready"))
 
 
+def associated_files(files: DataFrame, others: DataFrame, *, extensions: tuple[str, ...] | None = None, use_device_info: bool = False) -> DataFrame:
+    """(session_path, file_name, associated): for each file the files of `others` of the same session, subject, time, task and device (and device_info, if used), itself included if it
+    is among them, in order of their names. Equality on all of these keeps a group to the files of one recording. Null parts match nothing."""
+    key = ["session_path", "subject_id", "file_datetime", "task", "device"] + (["device_info"] if use_device_info else [])
+    o = others.filter(F.col("extension").isin(list(extensions))) if extensions is not None else others
+    o = o.groupBy(*key).agg(F.array_sort(F.collect_set("file_name")).alias("associated"))
+    return files.join(o, key, "left").select("session_path", "file_name", F.coalesce("associated", F.array().cast("array<string>")).alias("associated"))
+
+
 def pending(paths: DataFrame, ledger: DataFrame, path: str = "path") -> DataFrame:
     """Files that the ledger doesn't list yet."""
     return paths.join(ledger.select(path).distinct(), path, "left_anti")

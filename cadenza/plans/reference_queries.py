@@ -85,8 +85,11 @@ def prior_visit_join(spark, sf):
 
 @query("select distinct c_custkey from customer left join orders on c_custkey = o_custkey where c_acctbal < 0 or o_orderkey is null order by c_custkey")
 def flagged_or_missing(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").filter("c_acctbal < 0 or o_orderkey is null").select("c_custkey").distinct().orderBy("c_custkey")
+    from .jobs import flagged_subjects
+
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    flags = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi").select("c_custkey", (F.col("c_acctbal") < 0).alias("f"))
+    return flagged_subjects(c, flags, "c_custkey", "f")
 
 
 def _purchases(e: DataFrame) -> DataFrame:
@@ -125,17 +128,53 @@ def nearest_ts_lww(spark, sf):
     return d.select(F.col("no").alias("click_id"), F.col("event_id").alias("view_id"))
 
 
-@query("select o.o_orderkey from orders o where exists (select 1 from orders p where p.o_custkey = o.o_custkey and p.o_orderdate = o.o_orderdate and p.o_orderkey <> o.o_orderkey and p.o_orderstatus in ('O', 'F'))")
+ASSOC = """with o as (select * from device_data where extension in ('.hdf5', '.json', '.mov'))
+select d.session_path, d.file_name, (select coalesce(string_agg(distinct o.file_name, ',' order by o.file_name), '') from o where o.session_path = d.session_path and o.subject_id = d.subject_id and o.file_datetime = d.file_datetime
+  and o.task = d.task and o.device = d.device{info}) as associated from device_data d"""
+
+
+def _associated(spark, sf, use_device_info: bool) -> DataFrame:
+    from .jobs import associated_files as find
+
+    d = table(spark, sf, "device_data")
+    return find(d, d, extensions=(".hdf5", ".json", ".mov"), use_device_info=use_device_info).withColumn("associated", F.array_join("associated", ","))
+
+
+@query(ASSOC.format(info=""))
 def associated_files(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    p = o.filter(F.col("o_orderstatus").isin("O", "F")).select(F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("k"))
-    return o.join(p, (F.col("c") == F.col("o_custkey")) & (F.col("d") == F.col("o_orderdate")) & (F.col("k") != F.col("o_orderkey")), "left_semi").select("o_orderkey")
+    return _associated(spark, sf, False)
+
+
+@query(ASSOC.format(info=" and o.device_info = d.device_info"))
+def associated_files_by_info(spark, sf):
+    return _associated(spark, sf, True)
 
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 25)")
 def left_anti_ledger(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey").join(li, "o_orderkey", "left_anti")
+    from .jobs import pending
+
+    done = table(spark, sf, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return pending(table(spark, sf, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query(f"with {E}, p as (select user_id, arg_max(t, event_id) a from e where event_type = 'purchase' group by 1) select event_id, coalesce(t between a and a + 3600, false) as inside from e left join p using (user_id)")
+def interval_flag_last(spark, sf):
+    e = ev_series(spark, sf)
+    return joins.interval_flag(e, _purchases(e), K, "t", "a", "b", "inside", 7200.0, last_by="no").select("event_id", "inside")
+
+
+@query(f"""with {E}, v as (select user_id, event_id, t, row_number() over (partition by user_id order by event_id) - 1 i from e where event_type = 'view'), c as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 i from e where event_type = 'click'),
+z as (select v.user_id, v.t, v.event_id no, c.event_id frame from v join c on c.user_id = v.user_id and c.i = v.i), r as (select user_id, event_id no, t from e where event_type = 'error'),
+j as (select r.user_id, r.no, z.no vw, z.frame, row_number() over (partition by r.no order by abs(z.t - r.t), z.no) k from r left join z on z.user_id = r.user_id), w as (select *, row_number() over (partition by user_id, vw order by no desc) x from j where k = 1)
+select no as error_id, case when x = 1 then vw end as view_id, case when x = 1 then frame end as frame from w""")
+def zip_then_nearest(spark, sf):
+    """Frames zipped by position with their times, then each row of the other stream written to the nearest of them."""
+    e = ev_series(spark, sf)
+    z = series.positional_zip(e.filter("event_type = 'view'").select("user_id", "event_id", "t"), e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("frame")), K, "event_id", "frame")
+    d = joins.nearest_last_writer(z, e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("no"), "t"), K, "event_id", "t", "no", "t")
+    d = d.join(z.select("user_id", "event_id", F.col("r_frame").alias("frame")), ["user_id", "event_id"], "left")
+    return d.select(F.col("no").alias("error_id"), F.col("event_id").alias("view_id"), "frame")
 
 
 @query("""with o as (select o_custkey, o_orderdate, max(o_orderkey) o_orderkey from orders group by all)
@@ -290,10 +329,11 @@ def mad_per_group(spark, sf):
     return stats.mad(ev_series(spark, sf), K, "value").select("user_id", F.round("mad", 4).alias("mad"))
 
 
-@query(f"with {E} select user_id, count(*) as n, round(1e6 * regr_slope(event_id, t), 4) as slope from e group by 1")
+@query(f"""with {E}, g as (select user_id, count(*) as n, regr_slope(event_id, t) k, regr_intercept(event_id, t) c from e group by 1) select user_id, n, round(1e6 * k, 4) as slope, round(c / 1e4, 2) as intercept,
+  case when n < 3 then 'short' when abs(k - 1) > 1e-3 then 'slope' end as status from g""")
 def clock_offset_regression(spark, sf):
     d = stats.clock_offset(ev_series(spark, sf), K, "t", "event_id")
-    return d.select("user_id", F.col("n").cast("long").alias("n"), F.round(F.col("slope") * 1e6, 4).alias("slope"))
+    return d.select("user_id", F.col("n").cast("long").alias("n"), F.round(F.col("slope") * 1e6, 4).alias("slope"), F.round(F.col("intercept") / 1e4, 2).alias("intercept"), "status")
 
 
 @query("""with c as (select distinct recording_id, sample_idx, Time_LSL, Time_ACQ from realsense where Time_LSL is not null and not isnan(Time_LSL) and Time_ACQ is not null and not isnan(Time_ACQ))
@@ -470,11 +510,12 @@ def mouse_state_map(spark, sf):
 @query(f"""with {E}, a as (select *, sum((event_type = 'signup')::int) over (partition by user_id order by event_id) trial from e),
 b as (select *, coalesce(sum((event_type = 'purchase')::int) over (partition by user_id, trial order by event_id rows between unbounded preceding and 1 preceding), 0) past from a where trial > 0), c as (select * from b where past = 0)
 select user_id, trial, round(min(t) filter (event_type = 'signup'), 3) as start_t, round(min(t) filter (event_type = 'purchase'), 3) as end_t, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'view') as circles,
-  arg_max(value::int, event_id) filter (event_type = 'error') as n_targets from c group by 1, 2 having count(*) filter (event_type = 'purchase') > 0""")
+  round(max(t) filter (event_type in ('signup', 'view')), 3) as animation_end, round(sum(t - 1.7e9) filter (event_type = 'click'), 2) as click_sum, arg_max(value::int, event_id) filter (event_type = 'error') as n_targets from c group by 1, 2 having count(*) filter (event_type = 'purchase') > 0""")
 def trial_segments(spark, sf):
     e, t = ev_series(spark, sf), F.col("event_type")
     d = ev.trials(e, K, O, "event_type", "t", t == "signup", t == "purchase", t == "click", F.when(t == "error", F.rint("value").cast("int")), t == "view")
-    return d.select("user_id", "trial", F.round("start_time", 3).alias("start_t"), F.round("end_time", 3).alias("end_t"), F.size("click_times").cast("long").alias("clicks"), "circles", "n_targets")
+    return d.select("user_id", "trial", F.round("start_time", 3).alias("start_t"), F.round("end_time", 3).alias("end_t"), F.size("click_times").cast("long").alias("clicks"), "circles", F.round("animation_end", 3).alias("animation_end"),
+        F.when(F.size("click_times") > 0, F.round(F.aggregate("click_times", F.lit(0.0), lambda a, x: a + (x - 1.7e9)), 2)).alias("click_sum"), "n_targets")
 
 
 @query("select event_id, (props->>'$.k')::int as k from events")
@@ -569,7 +610,7 @@ def _decoder(name: str, sql: str) -> None:
     query(sql)(run)
 
 
-_decoder("eyelink", "select recording_id, sample_idx, R_GazeX, R_GazeY, R_PupilSize, Target_Distance / 10 as Target_Distance, Time_EDF / 1000 as Time_EDF, Time_LSL from eyelink")
+_decoder("eyelink", "select recording_id, sample_idx, R_GazeX, R_GazeY, R_PupilSize, L_GazeX, L_GazeY, L_PupilSize, Target_PositionX, Target_PositionY, Target_Distance / 10 as Target_Distance, ResolutionX, ResolutionY, Time_EDF / 1000 as Time_EDF, Time_NUC, Time_LSL from eyelink")
 _decoder("flir", "select recording_id, sample_idx, FrameNum, Time_FLIR / 1e9 as Time_FLIR, Time_LSL from flir")
 _decoder("realsense", "select recording_id, sample_idx, FrameNum, FrameNum_RealSense, Time_RealSense / 1000 as Time_RealSense, Time_ACQ, Time_LSL from realsense")
 _decoder("mbient", "select recording_id, sample_idx, Time_Mbient / 1000 as Time_Mbient, nullif(AccelX, 'nan'::double) as AccelX, AccelY, AccelZ, GyroX, GyroY, GyroZ, Time_LSL from mbient")
@@ -578,8 +619,7 @@ _decoder("mbient", "select recording_id, sample_idx, Time_Mbient / 1000 as Time_
 @query("""with m as (select distinct recording_id, FrameNum_Bag, R, G, B from mean_rgb) select recording_id, FrameNum_Bag, round((R + G + B) / 3, 4) as brightness from m""")
 def frame_means(spark, sf):
     m = table(spark, sf, "mean_rgb").select("recording_id", "FrameNum_Bag", "R", "G", "B").distinct()
-    x = m.select("recording_id", "FrameNum_Bag", F.explode(F.array("R", "G", "B")).alias("v"))
-    return x.groupBy("recording_id", "FrameNum_Bag").agg(F.round(F.sum("v") / 3, 4).alias("brightness"))
+    return m.select("recording_id", "FrameNum_Bag", F.round(series.mono(F.array("R", "G", "B")), 4).alias("brightness"))
 
 
 @query("select m.recording_id, m.FrameNum_Bag, r.FrameNum, r.FrameNum_RealSense from (select distinct recording_id, FrameNum_Bag, FrameNum from mean_rgb where FrameNum is not null) m join (select distinct recording_id, FrameNum, FrameNum_RealSense from realsense) r on r.recording_id = m.recording_id and r.FrameNum = m.FrameNum")
@@ -610,3 +650,41 @@ def gaze_velocity(spark, sf):
     e = nan_to_null(e).filter("Time_LSL is not null").dropDuplicates(["recording_id", "sample_idx"])
     e = series.with_gradient(e, ["recording_id"], "sample_idx", "Time_LSL", {"g": "R_GazeX"})
     return e.select("recording_id", "sample_idx", F.round(F.try_divide(F.col("g"), F.col("ResolutionX")), 1).alias("velocity"))
+
+
+def _records_decoder(device: str) -> None:
+    def run(spark, sf):
+        from ..operators.devices import decode_records
+
+        return decode_records(table(spark, sf, "device_data"), table(spark, sf, "raw_records"), table(spark, sf, "sensor_fields"), device)
+
+    run.__name__ = f"decode_{device.lower()}"
+    query()(run)  # the notations of the payloads are beyond SQL; tested on fixtures
+
+
+for _d in ("Mouse", "IPhone", "Webcam"):
+    _records_decoder(_d)
+
+
+@query("select recording_id, FrameNum_Bag, R as MeanColor_R, G as MeanColor_G, B as MeanColor_B, Time_Bag from (select distinct recording_id, FrameNum_Bag, R, G, B, Time_Bag from mean_rgb)")
+def decode_mean_rgb(spark, sf):
+    from ..operators.devices import mean_colours
+
+    m = table(spark, sf, "mean_rgb").select("recording_id", "FrameNum_Bag", "R", "G", "B", "Time_Bag").distinct()
+    return mean_colours(m, ["recording_id"], "FrameNum_Bag", "Time_Bag")
+
+
+@query(r"""with f as (select recording_id, regexp_replace(file_name, '_(DSC_obs|MOT_obs_1).*$', '_' || left(task, 3) || '_results.csv') as n from device_data),
+p as (select recording_id, n, regexp_extract(n, '^(\d+)_(\d\d\d\d)-(\d\d)-(\d\d)_(\d\d)h-(\d\d)m-(\d\d)s_(DSC|MOT)_(results|outcomes)(?:_v2)?\.csv$', ['s', 'y', 'mo', 'd', 'h', 'mi', 'se', 'task', 'kind']) r from f)
+select recording_id, nullif(r.s, '') as subject, case when r.s <> '' then r.y || '-' || r.mo || '-' || r.d || ' ' || r.h || ':' || r.mi || ':' || r.se end as at, case r.task when 'DSC' then 'DSC_obs' when 'MOT' then 'MOT_obs_1' end as task_name, nullif(r.kind, '') as result from p""".replace("\\\\", "\\"))
+def csv_file_parse(spark, sf):
+    d = table(spark, sf, "device_data").select("recording_id", F.regexp_replace("file_name", F.lit("_(DSC_obs|MOT_obs_1).*$"), F.concat(F.lit("_"), F.substring("task", 1, 3), F.lit("_results.csv"))).alias("n"))
+    d = names.parse_csv_names(d, "n")
+    return d.select("recording_id", "subject", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "task_name", "result")
+
+
+@query(r"""select recording_id, regexp_extract(s, '^(\d+)_', 1) as subject, regexp_extract(s, '^(\d+)_', 1) || '_' || replace(substr(s, strpos(s, '_') + 1, 10), '-', '_') as session from (select recording_id, split_part(session_path, '/', 3) s from device_data) where regexp_matches(s, '^\d+_\d\d\d\d[_-]\d\d[_-]\d\d')""".replace("\\\\", "\\"))
+def session_names(spark, sf):
+    s = F.element_at(F.split("session_path", "/"), 3)
+    d = table(spark, sf, "device_data").select("recording_id", s.alias("s")).filter(F.col("s").rlike(names.SESSION))
+    return d.select("recording_id", names.session_subject(F.col("s")).alias("subject"), names.make_session_id(names.session_subject(F.col("s")), names.session_date(F.col("s"))).alias("session"))

@@ -32,3 +32,9 @@ def audio_batches(frames: DataFrame) -> DataFrame:
     """Third level of JSON, in the order of the file."""
     a = F.from_json("f.AudioSampleTimeReceived", "struct<NumberOfSamples: long, Timestamp: double>")
     return frames.filter("f.AudioSampleTimeReceived is not null").select("path", "pos", a["NumberOfSamples"].alias("samples"), a["Timestamp"].alias("time"))
+
+
+def phone_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ios_version, app_version, device_id, device_type) of each file under `path`; what a file doesn't say is null."""
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "iOSVersionNumber string, appVersionNumber string, deviceID string, deviceType string").alias("m"))
+    return t.select("path", F.col("m.iOSVersionNumber").alias("ios_version"), F.col("m.appVersionNumber").alias("app_version"), F.col("m.deviceID").alias("device_id"), F.col("m.deviceType").alias("device_type"))
