@@ -123,14 +123,24 @@ def nearest_stream(stream: DataFrame, tolerance: dict[int, float], *, width: flo
     )
 
 
+# Where the stream keeps its state; RocksDB's caches of one executor share a bounded memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, values: dict[str, str]):
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def replay_nearest(
@@ -175,7 +185,7 @@ def replay_nearest(
         schema = "entity long, bucket long, is_left boolean, no long, t double, phase long, event timestamp"
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/arrived")
         pairs = nearest_stream(stream, tolerance, width=width, phases=phases, groups=groups, delay=f"{int(2 * width + 2 * reach + 1)} seconds")
-        with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        with _settings(spark, STATE):
             run = pairs.writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/progress").outputMode("append").start()
             try:
                 for s in range(slices + 1):
