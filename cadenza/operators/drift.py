@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .chunks import previous_row
 
 # How an absent value is written in payloads.
@@ -113,7 +114,8 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
         F.transform("r", lambda x, i: F.struct(x.alias("column_name"), F.when(i < k, F.lit(None).cast("string")).otherwise("removed").alias("change"))),
     )
     named = m.select("recording_id", F.explode(parts).alias("x")).select("recording_id", "x.column_name", "x.change").filter("change is not null")
-    types = file_types(written_values(files, records))
+    shared_dir(files.sparkSession)
+    types = file_types(written_values(files, records)).checkpoint()  # a row per file and column, needed for both files of a pair; payloads are taken apart once
     kept = pairs.select("recording_id", "prev_id", F.explode(F.array_intersect("names", "prev_names")).alias("name"))
     now = types.select("recording_id", "name", F.col("type").alias("now"))
     then = types.select(F.col("recording_id").alias("prev_id"), "name", F.col("type").alias("then"))
