@@ -46,17 +46,26 @@ def marker_positions(markers: DataFrame, text: str) -> DataFrame:
     return d.withColumn("target", F.coalesce(F.regexp_replace(suffix, "_", "").try_cast("int"), F.lit(0))).withColumn("x", part(c, MARKER_POSITION, 2).cast("int")).withColumn("y", part(c, MARKER_POSITION, 3).cast("int")).withColumn("time_stm", part(c, MARKER_POSITION, 4).try_cast("double"))
 
 
+def in_trials(markers: DataFrame, keys: list[str], order: str, starts: Column, ends: Column) -> DataFrame:
+    """The markers from a start to the first end after it, both included, with trial (numbered from 1 by start), __s and __e (whether it is the start or the end)."""
+    d = markers.withColumn("__s", F.coalesce(starts, F.lit(False))).withColumn("__e", F.coalesce(ends & ~starts, F.lit(False)))
+    d = d.withColumn("trial", F.sum(F.col("__s").cast("int")).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))).filter("trial > 0")
+    past = F.coalesce(F.sum(F.col("__e").cast("int")).over(Window.partitionBy(*keys, "trial").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("__past", past).filter("__past = 0").drop("__past")
+
+
+def circle_paths(markers: DataFrame, keys: list[str], order: str, text: str, time: str, starts: Column, ends: Column) -> DataFrame:
+    """(keys, trial, target, order, time, x, y, time_stm): the path of every target of every trial, from the markers that give a position. Trials without an end count too."""
+    d = marker_positions(in_trials(markers, keys, order, starts, ends), text)
+    return d.select(*keys, "trial", "target", order, time, "x", "y", "time_stm")
+
+
 def trials(markers: DataFrame, keys: list[str], order: str, text: str, time: str, starts: Column, ends: Column, click: Column, targets: Column, position: Column | None = None) -> DataFrame:
     """One row per trial: (keys, trial, practice, start_time, animation_end, end_time, n_targets, clicks, circles).
 
     A trial goes from a start marker to the first end after it; markers outside trials and trials without an end fall out.
     n_targets is the last given; circles counts position markers and animation_end is the last of them, or the start."""
-    w = ordered(keys, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = markers.withColumn("__s", F.coalesce(starts, F.lit(False))).withColumn("__e", F.coalesce(ends & ~starts, F.lit(False)))
-    d = d.withColumn("trial", F.sum(F.col("__s").cast("int")).over(run)).filter("trial > 0")
-    past = F.coalesce(F.sum(F.col("__e").cast("int")).over(Window.partitionBy(*keys, "trial").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("__past", past).filter("__past = 0")
+    d = in_trials(markers, keys, order, starts, ends)
     pos = F.lit(False) if position is None else F.coalesce(position, F.lit(False))
     t = F.col(time)
     g = d.groupBy(*keys, "trial").agg(

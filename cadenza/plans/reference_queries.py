@@ -688,3 +688,17 @@ def session_names(spark, sf):
     s = F.element_at(F.split("session_path", "/"), 3)
     d = table(spark, sf, "device_data").select("recording_id", s.alias("s")).filter(F.col("s").rlike(names.SESSION))
     return d.select("recording_id", names.session_subject(F.col("s")).alias("subject"), names.make_session_id(names.session_subject(F.col("s")), names.session_date(F.col("s"))).alias("session"))
+
+
+@query(r"""with m as (select distinct recording_id, marker_idx, coalesce(Time_LSL, Time_EDF / 1000) as t, regexp_replace(marker_text, '^MSG ', '') x from marker),
+a as (select *, lower(x) like 'trial_start%' or lower(x) like 'practicetrial_start%' s, lower(x) like 'trial_end%' or lower(x) like 'practicetrial_end%' e from m),
+b as (select *, sum(s::int) over (partition by recording_id order by marker_idx) trial from a), c as (select *, coalesce(sum(e::int) over (partition by recording_id, trial order by marker_idx rows between unbounded preceding and 1 preceding), 0) past from b where trial > 0),
+l as (select *, regexp_extract(lower(x), '^!v target_pos target(_\d+)? (\d+), (\d+) \d+ \d+_([\d.]+)', ['a', 'b', 'c', 'd']) r from c where past = 0 and regexp_matches(lower(x), '^!v target_pos target(_\d+)? (\d+), (\d+) \d+ \d+_([\d.]+)'))
+select recording_id, trial, coalesce(try_cast(replace(r.a, '_', '') as int), 0) as target, marker_idx, t, r.b::int as x, r.c::int as y, try_cast(r.d as double) as time_stm from l""")
+def circle_paths(spark, sf):
+    m = table(spark, sf, "marker").select("recording_id", "marker_idx", "marker_text", F.coalesce("Time_LSL", F.col("Time_EDF") / 1000).alias("t")).distinct()
+    low = F.lower(F.regexp_replace("marker_text", "^MSG ", ""))
+    m = m.withColumn("plain", F.regexp_replace(low, "^!v target_pos", "!V TARGET_POS"))
+    any_of = lambda ps: low.startswith(ps[0].lower()) | low.startswith(ps[1].lower())
+    starts, ends = ev.PREFIXES["trial"]
+    return ev.circle_paths(m, ["recording_id"], "marker_idx", "plain", "t", any_of(starts), any_of(ends)).drop("marker_text", "plain")
