@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .joins import interval_number, last_per_key
-from .masks import last_long_island, ordered, with_position
-from .series import gradient
+from .joins import interval_labels, interval_number, last_per_key
+from .masks import last_long_island, with_position
+from .series import with_gradient
 
 KINDS = {"saccade": "Saccade", "fixation": "Fixation", "blink": "Blink"}
 
@@ -29,14 +29,11 @@ def merge_eye_data(samples: DataFrame, gaze: DataFrame, href: DataFrame, spans:
     stretch of min_task_samples falls out."""
     on = [*keys, "Time_EDF"]
     d = samples.join(gaze, on, "left").join(href, on, "left")
-    w = ordered(keys, "sample_idx")
-    vel = {f"{e}_V{a}": gradient(F.col(f"{e}_{a}"), F.col("Time_LSL"), w) / F.col(f"{a}_Res") for e in "LR" for a in "XY"}
-    d = d.withColumns(vel)
+    raw = {f"{e}_V{a}": f"{e}_{a}" for e in "LR" for a in "XY"}
+    d = with_gradient(d, keys, "sample_idx", "Time_LSL", raw).withColumns({v: F.col(v) / F.col(f"{v[-1]}_Res") for v in raw})
     shared_dir(d.sparkSession)
-    for eye in "LR":
-        for kind, name in KINDS.items():
-            own = spans.filter((F.col("eye") == eye) & (F.col("kind") == kind)).withColumn("no", F.row_number().over(ordered(keys, "start")))
-            d = interval_number(d, own, keys, "Time_EDF", "start", "end", "no", f"{eye}_{name}", 60_000.0).withColumn(f"{eye}_{name}", F.col(f"{eye}_{name}") > 0)
+    d = interval_labels(d, spans.withColumn("__what", F.concat_ws("_", "eye", "kind")), keys, "Time_EDF", "start", "end", "__what", "__events", 60_000.0)
+    d = d.withColumns({f"{eye}_{name}": F.array_contains("__events", f"{eye}_{kind}") for eye in "LR" for kind, name in KINDS.items()}).drop("__events")
     if task is not None:
         d = interval_number(d, task.withColumn("no", F.lit(1)), keys, "Time_EDF", "start", "end", "no", "__in", 600_000.0).withColumn("__in", F.col("__in") > 0).checkpoint()
         island = last_long_island(d, keys, "sample_idx", "__in", "Time_EDF", min_task_samples).select(*keys, "first", "last")

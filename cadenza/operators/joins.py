@@ -84,6 +84,18 @@ def interval_number(series: DataFrame, intervals: DataFrame, keys: list[str], ti
     return d.withColumn(out, F.coalesce(hit, F.lit(0))).drop("__b", "__iv")
 
 
+def interval_labels(series: DataFrame, intervals: DataFrame, keys: list[str], time: str, start: str, end: str, label: str, out: str, width: float) -> DataFrame:
+    """Array `out`: the distinct labels of the half-open intervals [start, end) that hold the sample, sorted, empty without one. One join for any number of labels,
+    indexed by time buckets like interval_flag; null labels and inverted or empty intervals don't count."""
+    iv = intervals.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(label).alias("__n")).filter("__s < __e and __n is not null")
+    iv = iv.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / width).cast("long"), F.floor(F.col("__e") / width).cast("long"))))
+    iv = iv.groupBy(*keys, "__b").agg(F.collect_set(F.struct("__s", "__e", "__n")).alias("__iv"))
+    d = series.withColumn("__b", F.floor(F.col(time) / width).cast("long")).join(iv, [*keys, "__b"], "left")
+    t = F.col(time)
+    hit = F.array_sort(F.array_distinct(F.transform(F.filter("__iv", lambda x: (t >= x["__s"]) & (t < x["__e"])), lambda x: x["__n"])))
+    return d.withColumn(out, F.coalesce(hit, F.array().cast(f"array<{intervals.schema[label].dataType.simpleString()}>"))).drop("__b", "__iv")
+
+
 def asof_marker(series: DataFrame, markers: DataFrame, keys: list[str], order: str, time: str, marker_time: str, marker: str, out: str, inclusive_end: bool = False, width: float = 3600.0) -> DataFrame:
     """`out`: the last marker at or before each sample. The last marker holds up to the series' last time, exclusive unless
     inclusive_end, and not at all if the series ends with or before it. Samples before the first marker get null.

@@ -108,6 +108,14 @@ def interval_mask_halfopen(spark, sf):
     return joins.interval_number(e, _purchases(e), K, "t", "a", "b", "no", "number", 7200.0).select("event_id", "number")
 
 
+@query(f"""with {E}, p as (select user_id, event_type kind, t a, t + 3600 b from e where event_type in ('purchase', 'view')) select e.event_id, coalesce(string_agg(distinct p.kind, ',' order by p.kind), '') as kinds
+from e left join p on p.user_id = e.user_id and e.t >= a and e.t < b group by 1""")
+def interval_labels(spark, sf):
+    e = ev_series(spark, sf)
+    p = e.filter(F.col("event_type").isin("purchase", "view")).select("user_id", F.col("event_type").alias("kind"), F.col("t").alias("a"), (F.col("t") + 3600).alias("b"))
+    return joins.interval_labels(e, p, K, "t", "a", "b", "kind", "kinds", 7200.0).select("event_id", F.array_join("kinds", ",").alias("kinds"))
+
+
 @query(f"""with {E}, s as (select * from e where event_type <> 'error'), m as (select user_id, t, event_id::varchar v from e where event_type = 'error'),
 te as (select user_id, max(t) te from s group by 1), me as (select user_id, max(t) me from m group by 1)
 select s.event_id, case when (te <= me and s.t >= me) or (te > me and s.t = te) then null else m.v end as marker
