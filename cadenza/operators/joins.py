@@ -5,8 +5,12 @@ broadcasts by hint."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _prefixed(df: DataFrame, on: list[str], prefix: str) -> DataFrame:
@@ -146,18 +150,55 @@ def nearest_last_writer(left: DataFrame, right: DataFrame, keys: list[str], left
     return u.withColumn("wins", wins).select(*keys, F.col("r").alias(right_no), F.when(F.col("wins"), F.col("at")).alias(left_no))
 
 
-def overlap_expand(samples: DataFrame, spans: DataFrame, others: DataFrame, keys: list[str], time: str, pos: str, margin: float, out: str) -> DataFrame:
-    """Boolean `out`: within `margin` seconds of a span (t_first..t_last), or in one of the `others` (first..last exclusive by position) of
-    which a sample lies within a span's margin."""
-    near = spans.select(*keys, (F.col("t_first") - margin).alias("a"), (F.col("t_last") + margin).alias("b"))
-    d = interval_flag(samples, near, keys, time, "a", "b", "__near", 60.0)
-    o = others.select(*keys, F.col("first").cast("double").alias("a"), (F.col("last") - 1).cast("double").alias("b"), F.col("first").alias("__which"))
-    d = d.withColumn("__p", F.col(pos).cast("double"))
-    d = interval_number(d.withColumn("__x", F.lit(0)), o.withColumn("b", F.col("b") + 1).withColumn("__which", F.col("__which") + 1), keys, "__p", "a", "b", "__which", "__in", 4096.0)
-    # samples outside the others are spread, so that they don't meet in one window
-    spread = F.when(F.col("__in") == 0, F.floor(F.col("__p") / 4096))
-    touched = F.max(F.col("__near")).over(Window.partitionBy(*keys, "__in", spread))
-    return d.withColumn(out, F.col("__near") | ((F.col("__in") > 0) & touched)).drop("__near", "__p", "__x", "__in")
+def overlap_expand(samples: DataFrame, keys: list[str], order: str, time: str, mask: str, other: str, margin: float, out: str, width: float = 3600.0, size: int = 65536) -> DataFrame:
+    """Boolean `out`: within `margin` of a region of `mask` (times of its first sample and of the sample that ends it, ends included), or in a region of `other` of which a
+    sample is. Regions are those of masks.islands(): the last sample of a recording only ends one. Null masks are false; null keys or times and inverted regions match nothing.
+
+    Work grows with the rows, not with how long regions last. Rows lie in buckets of `size` values of a whole-numbered order (any other is one bucket), regions are carried over the borders by
+    one row per bucket, and the sample that ends a region puts it out as one row. Samples and regions are then sorted by time in buckets of `width`: a sample is near if the latest
+    end of the regions begun so far isn't before it. Only the rows of a region of `other` meet in one window, others are spread."""
+    whole = isinstance(samples.schema[order].dataType, T.IntegralType)
+    on, ex = lambda c: F.col(c) % 2 == 1, lambda c: F.col(c) >= 2
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
+    at = lambda c: F.struct(F.col(c).alias("t"))
+    bucket = F.coalesce(F.floor(F.col(order) / size), F.lit(-(1 << 62))) if whole else F.lit(0).cast("long")
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    # rows without a key stay aside and both masks are one column: all branches then read the same and share one shuffle
+    d = samples.filter(keyed).withColumn("__f", flag(mask) + 2 * flag(other)).withColumn("__b", bucket)
+    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    past, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__r", F.row_number().over(w)).withColumn("__p", F.lag("__f").over(w))
+    turn, turn_x = F.when(on("__f") != on("__p"), F.col("__r")), F.when(ex("__f") != ex("__p"), F.col("__r"))
+    c = d.groupBy(*keys, "__b").agg(
+        F.max("__r").alias("__k"), F.min_by("__f", "__r").alias("__f0"), F.max_by("__f", "__r").alias("__f1"), F.min_by(time, "__r").alias("__t0"),
+        F.max(turn).alias("__mr"), F.max_by(time, turn).alias("__mt"), F.max(turn_x).alias("__xr"),
+    )
+    up = Window.partitionBy(*keys).orderBy("__b")
+    earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("__pf", F.lag("__f1").over(up)).withColumn("__from", F.coalesce(F.sum("__k").over(earlier), F.lit(0))).withColumn("__final", F.lead("__k").over(up).isNull())
+    c = c.withColumn("__opens", F.coalesce(on("__f0") != on("__pf"), F.lit(True))).withColumn("__opens_x", F.coalesce(ex("__f0") != ex("__pf"), F.lit(True)))
+    since = F.when(F.col("__mr").isNotNull(), at("__mt")).when(F.col("__opens"), at("__t0"))
+    since_x = F.when(F.col("__xr").isNotNull(), F.col("__from") + F.col("__xr") - 1).when(F.col("__opens_x"), F.col("__from"))
+    c = c.withColumn("__ms", F.last(since, True).over(earlier)).withColumn("__xs", F.last(since_x, True).over(earlier))
+    c = c.select(*keys, "__b", "__k", "__t0", "__pf", "__from", "__final", "__opens", "__opens_x", "__ms", "__xs")
+
+    d = d.withColumn("__mt", F.last(F.when(turn.isNotNull(), at(time)), True).over(before)).withColumn("__xr", F.last(turn_x, True).over(past))
+    d = d.join(c, [*keys, "__b"], "left").withColumn("__p", F.coalesce("__p", "__pf"))
+    final = F.col("__final") & (F.col("__r") == F.col("__k"))
+    start = F.coalesce("__mt", F.when((F.col("__r") > 1) & F.col("__opens"), at("__t0")), "__ms")
+    d = d.withColumn("__lo", start["t"] - margin).withColumn("__hi", F.col(time) + margin)
+    ends = on("__p") & (final | ~on("__f")) & (F.col("__lo") <= F.col("__hi")) & ~F.isnan("__hi")
+    region = F.coalesce(F.col("__from") + F.col("__xr") - 1, F.when(F.col("__opens_x"), F.col("__from")), "__xs")
+    d = d.withColumn("__x", F.when(ex("__f") & ~final, region)).withColumn("__s", F.explode(F.when(ends, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    d = d.select(*samples.columns, "__x", "__s", F.when(F.col("__s"), F.col(time)).otherwise(F.col("__lo")).alias("__at"), F.when(~F.col("__s"), F.col("__hi")).alias("__hi"))
+    d = d.withColumn("__a", F.floor(F.col("__at") / width).cast("long"))
+    held = d.groupBy(*keys, "__a").agg(F.max("__hi").alias("__held"))
+    held = held.select(*keys, "__a", F.max("__held").over(Window.partitionBy(*keys).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)).alias("__held"))
+    d = d.withColumn("__hi", F.max("__hi").over(Window.partitionBy(*keys, "__a").orderBy("__at", "__s").rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.filter("__s").join(held, [*keys, "__a"], "left").withColumn("__near", F.coalesce(F.greatest("__hi", "__held") >= F.col("__at"), F.lit(False)))
+    touched = F.max("__near").over(Window.partitionBy(*keys, "__x", F.when(F.col("__x").isNull(), bucket)))
+    d = d.select(*samples.columns, (F.col("__near") | (F.col("__x").isNotNull() & touched)).alias(out))
+    return d.unionByName(samples.filter(~keyed).withColumn(out, F.lit(False)))
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

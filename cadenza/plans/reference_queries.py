@@ -416,9 +416,8 @@ near as (select e.*, exists (select 1 from b1 where b1.on_ and b1.last > b1.firs
 sj as (select s1.user_id, s1.first, s1.last from s1 where s1.on_ and s1.last > s1.first and exists (select 1 from near where near.user_id = s1.user_id and near.i >= s1.first and near.i < s1.last and near.nr))
 select event_id, nr or exists (select 1 from sj where sj.user_id = near.user_id and near.i >= sj.first and near.i < sj.last) as excluded from near""")
 def blink_exclusion(spark, sf):
-    e = ev_series(spark, sf).withColumn("b", F.col("event_type") == "error").withColumn("s", F.col("value") > 100)
-    blinks, sacc = masks.islands(e, K, O, "b", "t"), masks.islands(e, K, O, "s", "t")
-    return joins.overlap_expand(masks.with_position(e, K, O), blinks, sacc, K, "t", "i", 1000.0, "excluded").select("event_id", "excluded")
+    e = ev_series(spark, sf).select("event_id", "user_id", "t", (F.col("event_type") == "error").alias("b"), (F.col("value") > 100).alias("s"))
+    return joins.overlap_expand(e, K, O, "t", "b", "s", 1000.0, "excluded", 604800.0).select("event_id", "excluded")
 
 
 @query(f"with {E}, b as (select user_id, arg_min(t, i) a, arg_max(t, i) z from e group by 1) select user_id, i, round(a + coalesce(i * (z - a) / nullif(n - 1, 0), 0), 1) as t, round(value, 4) as value from e join b using (user_id)")
